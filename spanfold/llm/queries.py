@@ -2,6 +2,7 @@
 
 from .chat import OP5_SQL, op5_reply_tree_chat
 from .decontamination import op3_string_tiling_decontamination
+from .embeddings import OP1_SQL, op1_spherical_kmeans_dedup
 from .packing import op7_variable_best_fit_packing
 from .secrets import op9_blob_ledger_secrets
 from .sharding import op6_weighted_tree_sharding
@@ -11,6 +12,7 @@ from .toxicity import op10_boosted_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_spherical_kmeans_dedup,
         op2_overlap_token_counts,
         op3_string_tiling_decontamination,
         op5_reply_tree_chat,
@@ -20,4 +22,6 @@ QUERIES = {
         op10_boosted_toxicity,
     )
 }
-ORACLE_SQL = {"op5_reply_tree_chat": OP5_SQL}
+ORACLE_SQL = {
+    "op1_spherical_kmeans_dedup": OP1_SQL,
+    "op5_reply_tree_chat": OP5_SQL}

@@ -56,8 +56,8 @@ def shingles(word_ids: np.ndarray, width: int = 5) -> np.ndarray:
     n = len(word_ids) - k + 1
     total = np.full(n, k, np.uint64)
     for i in range(k):
-        total += word_ids[i : i + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF)
-    return np.unique(mix64(total))
+        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + word_ids[i : i + n])
+    return np.unique(total)
 
 
 class Scratch:

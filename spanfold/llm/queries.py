@@ -3,6 +3,7 @@
 from .chat import OP5_SQL, op5_reply_tree_chat
 from .decontamination import op3_string_tiling_decontamination
 from .embeddings import OP1_SQL, op1_spherical_kmeans_dedup
+from .hmm import op8_hmm_language_model
 from .jaccard import OP4_SQL, op4_token_group_jaccard
 from .packing import op7_variable_best_fit_packing
 from .secrets import op9_blob_ledger_secrets
@@ -20,6 +21,7 @@ QUERIES = {
         op5_reply_tree_chat,
         op6_weighted_tree_sharding,
         op7_variable_best_fit_packing,
+        op8_hmm_language_model,
         op9_blob_ledger_secrets,
         op10_boosted_toxicity,
     )

@@ -59,9 +59,14 @@ def scalar(value: Column) -> Column:
     return F.coalesce(value["stringValue"], value["intValue"], plain_double(value["doubleValue"]), value["boolValue"])
 
 
+def _named(**fields: Column) -> Column:
+    """A struct; inside lambdas, aliases of some expressions are lost."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def attribute_map(pairs: Column) -> Column:
     """The scalar attributes; the last of repeated keys counts (the session's LAST_WIN)."""
-    entries = F.transform(F.coalesce(pairs, F.array().cast(_KEYS)), lambda p: F.struct(p["key"].alias("key"), scalar(p["value"]).alias("value")))
+    entries = F.transform(F.coalesce(pairs, F.array().cast(_KEYS)), lambda p: _named(key=p["key"], value=scalar(p["value"])))
     return F.map_from_entries(F.filter(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull()))
 
 
@@ -108,7 +113,7 @@ def flatten_spans(requests: DataFrame, promotions: list[Promotion] = (), tenant_
     rows = rows.select("res", "s", (F.map_concat(own, added) if added is not None else own).alias("a"), F.lower("s.traceId").alias("trace"))
     now = F.current_timestamp()
     whole = F.filter(F.coalesce("s.events", F.array().cast(f"array<{_EVENT}>")), lambda e: F.forall(F.coalesce(e["attributes"], F.array().cast(_KEYS)), _is_scalar))
-    events = F.transform(whole, lambda e: F.struct(F.coalesce(e["name"], F.lit("")).alias("name"), _time(e["timeUnixNano"], now).alias("timestamp"), attribute_map(e["attributes"]).alias("attributes")))
+    events = F.transform(whole, lambda e: _named(name=F.coalesce(e["name"], F.lit("")), timestamp=_time(e["timeUnixNano"], now), attributes=attribute_map(e["attributes"])))
     rows = rows.withColumn("ev", events)
     a = lambda k: F.col("a")[k]
     event = lambda name, k: F.get(F.filter("ev", lambda e: e["name"] == name), F.lit(0))["attributes"][k]
@@ -186,7 +191,7 @@ def flatten_metrics(requests: DataFrame, promotions: list[Promotion] = ()) -> Da
             else:
                 value = F.coalesce(p["sum"], F.lit(0.0))
                 attributes = F.map_concat(attributes, F.create_map(F.lit("count"), F.coalesce(p["count"], F.lit("0"))))
-            return F.struct(F.lit(kind).alias("type"), _time(p["timeUnixNano"], F.current_timestamp()).alias("ts"), value.alias("value"), attributes.alias("a"))
+            return _named(type=F.lit(kind), ts=_time(p["timeUnixNano"], F.current_timestamp()), value=value, a=attributes)
 
         return of
 

@@ -175,7 +175,8 @@ class Translator:
                 out.append(f"DATE '{self.as_of:%Y-%m-%d}'")
             elif _word(x, "LAMBDA") and ":" in items[i:]:
                 at = items.index(":", i)
-                out.append("(" + " ".join(items[i + 1 : at]) + ") -> " + self.render(items[at + 1 :]))
+                names = [x for x in items[i + 1 : at] if x != ","]
+                out.append((names[0] if len(names) == 1 else f"({', '.join(names)})") + " -> " + self.render(items[at + 1 :]))
                 break
             elif re.match(r"[A-Za-z_]", x) and isinstance(nxt, Group) and nxt.open == "(" and not (out and out[-1] == "."):
                 used, text = self.call(x, nxt, items[i + 2 :])

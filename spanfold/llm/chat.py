@@ -1,7 +1,7 @@
 r"""Reply trees: the best branches from root to leaf, each formatted as one conversation.
 
-Template of a turn: ``### role: text</turn>\n``. Inside roles and texts a backslash precedes ``\``, ``#`` and ``<``, and
-``:`` in roles, so that no text can hold a bare control string and the output reads back exactly.
+Template of a turn: ``### role: text</turn>\n``. Inside roles and texts ``\s``, ``\h`` and ``\l`` stand for a backslash,
+``#`` and ``<``, and ``\c`` for ``:`` in roles, so that no text can hold a control string and the output reads back exactly.
 """
 
 from __future__ import annotations
@@ -15,12 +15,20 @@ from .common import Scratch, table
 HEAD, AFTER_ROLE, END = "### ", ": ", "</turn>\n"
 
 
+# What stands for a character inside roles and texts, the backslash first. No escape holds another.
+_ESCAPES = (("\\", "\\s"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
+
+
 def _escape(x: Column, role: bool = False) -> Column:
-    return F.regexp_replace(x, r"([\\#<:])" if role else r"([\\#<])", r"\\$1")
+    for plain, escaped in _ESCAPES if role else _ESCAPES[:3]:
+        x = F.replace(x, F.lit(plain), F.lit(escaped))
+    return x
 
 
 def _unescape(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?s)\\(.)", "$1")
+    for plain, escaped in reversed(_ESCAPES):
+        x = F.replace(x, F.lit(escaped), F.lit(plain))
+    return x
 
 
 def branches(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -112,8 +120,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """The rows of :func:`format_branches` with turns (role, text) and learned, the texts under the loss mask."""
     parts = F.filter(F.split("formatted", END), lambda x: x != "")
     body = lambda x: F.substring(x, F.lit(len(HEAD) + 1), F.length(x))
-    # A bare colon ends the role: one that no backslash escapes.
-    role = lambda x: F.regexp_extract(body(x), r"(?s)^([^\\:]*(?:\\.[^\\:]*)*+): ", 1)
+    role = lambda x: F.substring_index(body(x), AFTER_ROLE, 1)  # noqa: E731  a role holds no colon
     turns = F.transform(
         parts,
         lambda x: F.struct(

@@ -216,17 +216,16 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points (x, value) of the non-decreasing fit of ``y``, by pooling adjacent violators; one row of each label is
-    added at the ends, so that a value is never 0 or 1."""
+    """Points (x, value) of the non-decreasing fit of ``y``, by pooling adjacent violators. A row with the mean
+    label is added at each end, so that few rows give no certainty."""
     if not len(x):
         return np.zeros(1), np.zeros(1)
-    order = np.argsort(x, kind="stable")
-    xs = np.concatenate(([x.min() - 1], x[order], [x.max() + 1]))
-    ys = np.concatenate(([y.mean()], y[order].astype(float), [y.mean()]))
+    at, group = np.unique(x, return_inverse=True)  # equal margins get equal values
+    ones, rows = np.bincount(group, y), np.bincount(group).astype(float)
     blocks: list[list[float]] = []  # sum, count, first, last
-    for a, b in zip(xs.tolist(), ys.tolist(), strict=True):
-        blocks.append([b, 1.0, a, a])
-        while len(blocks) > 1 and (blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
+    for s, c, p in [(y.mean(), 1.0, at[0] - 1), *zip(ones, rows, at, strict=True), (y.mean(), 1.0, at[-1] + 1)]:
+        blocks.append([float(s), float(c), float(p), float(p)])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, c, _, last = blocks.pop()
             blocks[-1][0] += s
             blocks[-1][1] += c

@@ -48,8 +48,10 @@ DUCK = _sql(False)
 
 def tables(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views of the plain tables and, as spans, logs and metrics, of the events."""
+    from ..session import prepared
     from .views import register
 
+    prepared(spark)  # buckets and days are those of UTC
     for name in PLAIN:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for kind, text in _sql(True).items():

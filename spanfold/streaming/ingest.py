@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import Promotion
-from ..sources import otlp
+from ..sources import otlp, protobuf
 from ..sources.lake import LakeTable
 
 
@@ -91,12 +91,12 @@ class HotBuffer:
 
 
 def ingest(buffer: HotBuffer, payload: str | bytes) -> dict:
-    """Takes a request in JSON into the buffer; a ValueError tells of a bad one.
+    """Takes a request, text in JSON or bytes in Protobuf or JSON, into the buffer; a ValueError tells of a bad one.
 
     Answers {success, ingested_count, message}, as the service does.
     """
     spark = buffer.table.spark
-    text = payload.decode("utf-8") if isinstance(payload, bytes) else payload  # a UnicodeDecodeError is a ValueError
+    text = protobuf.to_json(payload, buffer.table.kind) if isinstance(payload, bytes) else payload
     requests = otlp.parse(spark.createDataFrame([(text,)], "value string"), buffer.table.kind)
     rows = otlp.FLATTEN[buffer.table.kind](requests, buffer.table.promotions)
     try:
@@ -105,7 +105,7 @@ def ingest(buffer: HotBuffer, payload: str | bytes) -> dict:
         if "MALFORMED_RECORD" in str(e) or "FAILFAST" in str(e):
             raise ValueError("the request is no valid JSON of this kind") from e
         raise
-    buffer.append(spark.createDataFrame(found, rows.schema), len(text.encode()))
+    buffer.append(spark.createDataFrame(found, rows.schema), len(payload))
     return {"success": True, "ingested_count": len(found), "message": f"{len(found)} {buffer.table.kind} ingested"}
 
 

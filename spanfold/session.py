@@ -15,7 +15,7 @@ SETTINGS = {
 
 def session(app: str = "spanfold", **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` has dots written as double underscores."""
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.scheduler.mode", "FAIR")  # callers share the executors
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

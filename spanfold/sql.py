@@ -117,6 +117,8 @@ class Translator:
             return "EXPLAIN FORMATTED " + self.render(rest)
         if len(items) > 3 and any(_word(x, "MACRO") for x in items[:4]):
             return self._macro(items)
+        if _word(items[0], "COPY"):
+            return self._copy(items)
         return self.render(items)
 
     def _macro(self, items: list) -> str:
@@ -127,6 +129,14 @@ class Translator:
             return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{a} STRING' for a in args)}) RETURNS TABLE RETURN {self.render(body[1:])}"
         return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{a} STRING' for a in args)}) RETURN {self.render(body)}"
 
+    def _copy(self, items: list) -> str:
+        """COPY t TO 'folder' (FORMAT f) writes files of that format; Parquet if none is named."""
+        at = next(i for i, x in enumerate(items) if _word(x, "TO"))
+        options = items[at + 2].items if len(items) > at + 2 else []
+        kind = next((options[i + 1] for i, x in enumerate(options) if _word(x, "FORMAT")), "parquet").strip("'").lower()
+        source = items[1].items if isinstance(items[1], Group) else ["SELECT", "*", "FROM", *items[1:at]]
+        return f"INSERT OVERWRITE DIRECTORY {_quoted(_text(items[at + 1]))} USING {kind} {self.render(source)}"
+
     def render(self, items: list) -> str:
         items = self._qualify(items)
         out: list[str] = []
@@ -272,9 +282,9 @@ class Translator:
             return 0, "named_struct(" + ", ".join(f"'{p[0]}', {r(p[2:])}" for p in parts) + ")"
         if low == "now" and not parts and self.as_of:
             return 0, self._now()
-        if low == "read_parquet":
+        if low in ("read_parquet", "read_json", "read_json_auto"):
             files = parts[0][0].items if isinstance(parts[0][0], Group) else parts[0]
-            scans = [f"SELECT * FROM parquet.`{_text(f)}`" for f in files if f != ","]
+            scans = [f"SELECT * FROM {low.split('_')[1]}.`{_text(f)}`" for f in files if f != ","]
             return 0, "(" + " UNION ALL ".join(scans) + ")"
         if low == "iceberg_scan":
             if not self.scan:

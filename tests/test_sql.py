@@ -64,6 +64,18 @@ def test_explain_and_macro(spark):
     assert sql.execute(spark, "SELECT * FROM of_session('s3')")["rows"] == [[3]]
 
 
+def test_copy_and_read_back(spark, tmp_path):
+    for kind in ("parquet", "json"):
+        sql.execute(spark, f"COPY (SELECT 1 AS a, 'x' AS b) TO '{tmp_path}/{kind}' (FORMAT {kind})")
+        assert sql.execute(spark, f"SELECT b FROM read_{kind}('{tmp_path}/{kind}') t WHERE t.a = 1")["rows"] == [["x"]]
+
+
+def test_tables_of_users(spark):
+    sql.execute(spark, "CREATE OR REPLACE TEMPORARY VIEW mine AS SELECT * FROM (VALUES (1, 'a'), (2, NULL)) v(id, name)")
+    got = sql.execute(spark, "SELECT id, name FROM mine QUALIFY row_number() OVER (ORDER BY name) = 1 ORDER BY id")
+    assert got == {"columns": ["id", "name"], "rows": [[1, "a"]], "row_count": 1}
+
+
 def test_dashboard_macros():
     text = sql.macros("SELECT time_bucket(INTERVAL $__interval, t) FROM x WHERE $__timeFilter(t) AND d >= DATE $__timeFrom AND s = '$sid'", "5 minutes", "2024-01-01 00:00:00", "2024-01-02 00:00:00", sid="o'x")
     assert "t BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP" in text and "DATE '2024-01-01'" in text and "'o''x'" in text

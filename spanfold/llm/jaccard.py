@@ -3,8 +3,9 @@
 Tokens are hashed word shingles. All documents order them alike, frequent ones last, and a document's prefix is the part
 of which a partner must hold at least one token (of n tokens, the first n - ceil(0.75 n) + 1). Then:
 
-1. Partition. A token's documents are compared with the one before them, by size, and with the first of their size
-   band: as many comparisons as there are documents. The links found connect similar documents to groups.
+1. Partition. A token's documents are compared with the one before them, by size, and with the most central of their
+   size band, the one that has the fewest tokens ahead of this one: as many comparisons as there are documents. The links
+   found connect similar documents to groups.
 2. Matrix. Each group's token union is kept over the prefixes: (token, group), with the range of its documents' sizes
    and the most tokens that any of them has left after this one.
 3. Bound. A document queries the matrix by its prefix. The bound on what it can share with any document of a group is
@@ -13,6 +14,9 @@ of which a partner must hold at least one token (of n tokens, the first n - ceil
 
 Every pair at the threshold shares its first common token in both prefixes, so it is in one group or meets in step 4.
 Pairs inside a group are connected already and are not compared again.
+
+Before texts are compared, so are bitmaps, of which bit h is the parity of the number of tokens with that hash. Two
+bitmaps differ in no more bits than the sets differ in tokens, so a pair whose bitmaps differ too much is no link.
 """
 
 from __future__ import annotations
@@ -28,10 +32,9 @@ from .common import Scratch, WordIds, as_int64, connected_components, mix64, shi
 
 #: A partner has at least 75 of 100 tokens of the union.
 PERCENT = 75
-#: Documents whose tokens are held at once, and frequent tokens that the order puts last. Any order gives the same
-#: result; this one keeps common passages out of prefixes.
-SLICE, FREQUENT = 1024, 1 << 18
-_LEAST_FREQUENT = 8
+#: Documents whose tokens are held at once, and bits of the hash by which tokens are ranked. Any order gives the same
+#: result; this one keeps common passages out of prefixes. The ranks take 2^22 bytes whatever the number of tokens.
+SLICE, RANK_BITS = 1024, 22
 _PER_HUB = 1024
 
 
@@ -50,62 +53,75 @@ def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(as_int64(a.reshape(1))[0]), int(as_int64(b.reshape(1))[0])
 
 
-def _sizes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and a 128-bit fingerprint (f1, f2) of each document's set."""
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """Parities by hash: a power of two of bits, four for each token or more, 2^17 at most."""
+    bits = 1 << min(17, max(6, (4 * len(tokens) - 1).bit_length()))
+    at = (tokens >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _differences(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the length of the other: at most |A - B| + |B - A|."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n)) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _profiles(docs: DataFrame, width: int) -> DataFrame:
+    """Rows of documents (doc_id, n, a 128-bit fingerprint f1 and f2 of the set, and its bitmap) and rows of tokens
+    (token, times) that come again within a slice of documents, each set counted once a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, width):
             prints = [_fingerprint(s) if len(s) else (0, 0) for s in sets]
+            once = {p: s for p, s in zip(prints, sets, strict=True) if len(s)}
+            tokens, times = np.unique(np.concatenate([*once.values(), np.zeros(0, np.uint64)]), return_counts=True)
+            again = times > 1
+            d, t = len(ids), int(again.sum())
+            null = lambda n, kind: pa.nulls(n, kind)
+            both = lambda x, y: pa.concat_arrays([x, y])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)]],
-                names=["doc_id", "n", "f1", "f2"],
+                [
+                    both(pa.array(ids, pa.int64()), null(t, pa.int64())),
+                    both(pa.array([len(s) for s in sets], pa.int64()), null(t, pa.int64())),
+                    *[both(pa.array([p[i] for p in prints], pa.int64()), null(t, pa.int64())) for i in (0, 1)],
+                    both(pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary()), null(t, pa.binary())),
+                    both(null(d, pa.int64()), pa.array(as_int64(tokens[again]))),
+                    both(null(d, pa.int64()), pa.array(times[again].astype(np.int64))),
+                ],
+                names=["doc_id", "n", "f1", "f2", "bits", "token", "times"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bits binary, token long, times long")
 
 
-def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, ascending, and the logarithm of how often they were counted.
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - RANK_BITS)).astype(np.int64)
 
-    Tokens are counted that come again within a slice of documents, over all slices, each set once a slice.
+
+def _ranks(profiles: DataFrame) -> np.ndarray:
+    """By hash bucket, the logarithm of how often its most frequent token was counted; 0 if none came again.
+
+    A rare token that shares a bucket with a frequent one is put late as well, by all documents alike.
     """
+    bucket = F.expr(f"shiftrightunsigned(token, {64 - RANK_BITS})").cast("int")
+    counted = profiles.where("token is not null").groupBy("token").agg(F.sum("times").alias("n"))
+    found = counted.groupBy(bucket.alias("bucket")).agg(F.max(F.log2("n").cast("int")).alias("rank")).toPandas()
+    ranks = np.zeros(1 << RANK_BITS, np.uint8)
+    ranks[found["bucket"].to_numpy()] = found["rank"].to_numpy()
+    return ranks
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, width):
-            once = {s.tobytes(): s for s in sets if len(s)}
-            if not once:
-                continue
-            tokens, n = np.unique(np.concatenate(list(once.values())), return_counts=True)
-            again = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(as_int64(tokens[again])), pa.array(n[again].astype(np.int64))], names=["token", "n"])
-
-    counted = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= _LEAST_FREQUENT)
-    scratch = Scratch(docs.sparkSession)
-    counted = scratch.write(counted.withColumn("level", F.log2("n").cast("int")), "frequent")
-    room, least = FREQUENT, None
-    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["level"]
-    rows = counted.where(F.col("level") >= least).select("token", "level").toPandas() if least is not None else None
-    scratch.clear()
-    if rows is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], rows["level"].to_numpy(np.int64)[order]
-
-
-def _postings(docs: DataFrame, width: int) -> DataFrame:
+
+def _postings(docs: DataFrame, ranks: np.ndarray, width: int) -> DataFrame:
     """token, doc, n and pos (the token's place in the document's order) of prefixes.
 
     An input partition sends each set on once, so that the copies of a hot text come as a few documents.
     """
-    held = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, levels = held.value
+        ranks = held.value
         seen: set[tuple[int, int]] = set()
         for ids, sets in _sets(batches, width):
             tokens, doc, size, place = [], [], [], []
@@ -115,10 +131,7 @@ def _postings(docs: DataFrame, width: int) -> DataFrame:
                 seen.add(key)
                 n = len(s)
                 keep = n - -(-PERCENT * n // 100) + 1
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    level = np.where(frequent[at] == s, levels[at], 0)
-                    s = s[np.argsort(level, kind="stable")] if level.any() else s
+                s = s[np.argsort(ranks[_bucket(s)], kind="stable")]
                 tokens.append(s[:keep])
                 doc.append(np.full(keep, i, np.int64))
                 size.append(np.full(keep, n, np.int32))
@@ -138,27 +151,40 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return fits & (most * (100 + PERCENT) >= (n + m) * PERCENT)
 
 
-def _shared(scratch: Scratch, docs: DataFrame, width: int) -> DataFrame:
-    """The postings of tokens that several documents have, with the document before and the first of the size band."""
-    rows = _postings(docs, width).withColumn("band", (F.log("n") / float(np.log(100 / PERCENT))).cast("int"))
-    here = F.struct("doc", "n", "pos")
+def _shared(scratch: Scratch, postings: DataFrame) -> DataFrame:
+    """The postings of tokens that several documents have, with the document before and the most central of the band."""
+    rows = postings.withColumn("band", (F.log("n") / float(np.log(100 / PERCENT))).cast("int"))
     by_size = Window.partitionBy("token").orderBy("band", "n", "doc")
-    rows = rows.withColumn("before", F.lag(here).over(by_size)).withColumn("after", F.lead("doc").over(by_size))
-    rows = rows.withColumn("first", F.first(here).over(Window.partitionBy("token", "band").orderBy("n", "doc")))
-    return scratch.write(rows.where("before is not null or after is not null").drop("after"), "shared")
+    rows = rows.withColumn("before", F.lag(F.struct("doc", "n", "pos")).over(by_size)).withColumn("after", F.lead("doc").over(by_size))
+    rows = rows.where("before is not null or after is not null")
+    central = F.min(F.struct("pos", "doc", "n")).over(Window.partitionBy("token", "band"))
+    return scratch.write(rows.withColumn("first", central).drop("after", "band"), "shared")
+
 
+def _candidates(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
 
-def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, y = batch["n"].to_pylist(), batch["x"], batch["y"]
+            keep = [_differences(x[i].as_py(), y[i].as_py()) * (100 + PERCENT) <= n[i] * (100 - PERCENT) for i in range(batch.num_rows)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    a = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    b = sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(scratch: Scratch, texts: DataFrame, sizes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold.
 
     The texts of ``a`` are hubs: a hub's partners are streamed past it. A hub with many partners is dealt to several
     tasks, each with its own copy of the hub's text.
     """
-    held = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / _PER_HUB).cast("long").alias("parts")), "a")
+    near = scratch.write(_candidates(pairs, sizes), "candidates")
+    held = near.join(near.groupBy("a").agg(F.ceil(F.count("*") / _PER_HUB).cast("long").alias("parts")), "a")
     held = scratch.write(held.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")), "pairs")
-    involved = held.select(F.col("a").alias("doc")).unionByName(held.select(F.col("b").alias("doc"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").where("text is not null")
-    texts = scratch.write(texts.join(involved, "doc", "left_semi"), "texts")
     hubs = held.select("a", "salt").distinct().join(texts.withColumnRenamed("doc", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     partners = held.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "salt", "b", "text")
 
@@ -182,7 +208,8 @@ def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int) -
 
     dealt = hubs.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     links = scratch.write(dealt.mapInArrow(run, "a long, b long"), "links")
-    scratch.drop(texts)
+    scratch.drop(near)
+    scratch.drop(held)
     return links
 
 
@@ -216,24 +243,28 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = scratch.write(_sizes(docs, width), "sizes")
+    profiles = scratch.write(_profiles(docs, width), "profiles")
+    sizes = profiles.where("f1 is not null").select("doc_id", "n", "f1", "f2", "bits")
     known = sizes.where("n > 0 and doc_id is not null")
     first = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
     copies = known.join(first, ["n", "f1", "f2"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
 
-    shared = _shared(scratch, docs, width)
+    shared = _shared(scratch, _postings(docs, _ranks(profiles), width))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").where("text is not null")
+    texts = scratch.write(texts.join(shared.select("doc").distinct(), "doc", "left_semi"), "texts")
     near = lambda other: shared.where(F.col(f"{other}.doc") != F.col("doc")).where(
         _may_link(F.col("n"), F.col("pos"), F.col(f"{other}.n"), F.col(f"{other}.pos"))
     ).select(F.col(f"{other}.doc").alias("a"), F.col("doc").alias("b"))
-    star = near("first").unionByName(near("before")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.write(copies.unionByName(_verified(scratch, docs, star, width)), "links")
+    star = near("first").unionByName(near("before")).distinct()
+    links = scratch.write(copies.unionByName(_verified(scratch, texts, known, star, width)), "links")
 
     groups = connected_components(scratch, links)
     matrix = shared.select("token", "doc", "n", "pos").join(groups, F.col("doc") == F.col("node"), "left")
     matrix = scratch.write(matrix.select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("g")), "matrix")
     scratch.drop(shared)
-    more = _verified(scratch, docs, _open(matrix), width)
+    more = _verified(scratch, texts, known, _open(matrix), width)
     scratch.drop(matrix)
+    scratch.drop(texts)
     if not more.isEmpty():
         groups = connected_components(scratch, links.unionByName(more))
     return sizes.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -7,8 +7,9 @@ share for words that training never saw. So the model gives every sequence of wo
     log P(text) = log P(its symbols), by the scaled forward recursion, + sum over words of log P(word | its symbol).
 
 The E step runs where the texts are: each task sums the expected counts of its texts by forward and backward recursions
-that take many texts at a time, and the counts of all tasks are summed by symbol. The model has a fixed size; the word
-counts have not, so they stay a table, and the texts' rare words are joined with it.
+that take many texts at a time, and the counts of all tasks are summed by symbol. Texts are encoded once, and the rounds
+read their symbols. The model has a fixed size; the word counts have not, so they stay a table, and the texts' rare words
+are joined with it.
 """
 
 from __future__ import annotations
@@ -198,19 +199,21 @@ def _symbols(ids: np.ndarray, top: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """``words`` is the table of counts (id, n); the most frequent ``held`` ids and their counts are held as arrays."""
+class Vocabulary:
+    """``words`` is the table of counts (id, n); the most frequent ids, ``held``, and their counts are arrays too."""
 
-    parameters: Parameters
     words: DataFrame
-    top: np.ndarray
     held: np.ndarray
     held_counts: np.ndarray
+    top: np.ndarray
+    prior: np.ndarray
+    classes: np.ndarray
     class_total: np.ndarray
+    class_share: np.ndarray
+    pairs: np.ndarray
     tokens: int
     types: int
     ends: int
-    log_likelihoods: list[float]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -237,8 +240,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "id").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, scratch: Scratch, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """The model of the texts of ``docs`` (text; null counts as empty)."""
+def vocabulary(docs: DataFrame, scratch: Scratch) -> Vocabulary:
+    """The counts of the texts of ``docs`` (text; null counts as empty)."""
     counted = scratch.write(count_words(docs), "counts")
     words = counted.where("kind = 0").select("id", "n")
     size = counted.where("kind in (0, 2)").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
@@ -246,19 +249,27 @@ def train(docs: DataFrame, scratch: Scratch, states: int = STATES, rounds: int =
     ends = by[2]["n"] if 2 in by else 0
     tokens, types = ends + (by[0]["n"] if 0 in by else 0), (1 if ends else 0) + (by[0]["types"] if 0 in by else 0)
 
-    best = words.orderBy(F.desc("n"), "id").limit(HELD).toPandas()
+    # Sixteenths of a power of two: as many whole levels, from the top, as the bound has room for.
+    ranked = words.withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
+    room, least = HELD, 1 << 20
+    for r in ranked.groupBy("level").count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    best = ranked.where(F.col("level") >= least).select("id", "n").orderBy(F.desc("n"), "id").toPandas()
     held = best["id"].to_numpy(np.int64).view(np.uint64)
     n = best["n"].to_numpy(np.int64)
     top = np.sort(held[:SYMBOLS])
     top_counts = n[:SYMBOLS][np.argsort(held[:SYMBOLS])]
+    top_class = (top & np.uint64(CLASSES - 1)).astype(np.int64)
 
     # Of each class, the counts and types of the words without a symbol of their own.
     kind = F.col("id").bitwiseAND(CLASSES - 1)
     total, many = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in words.groupBy(kind.alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
         total[r["c"]], many[r["c"]] = r["n"], r["types"]
-    class_share = total.copy()
-    top_class = (top & np.uint64(CLASSES - 1)).astype(np.int64)
+    class_share = total / max(1.0, total.sum())
     np.subtract.at(total, top_class, top_counts)
     np.subtract.at(many, top_class, 1)
 
@@ -272,29 +283,79 @@ def train(docs: DataFrame, scratch: Scratch, states: int = STATES, rounds: int =
     pairs = np.zeros(CLASSES * CLASSES)
     for r in counted.where("kind = 1").select("id", "n").collect():
         pairs[r["id"]] = r["n"]
-    p = initial(pairs.reshape(CLASSES, CLASSES), class_share / max(1.0, class_share.sum()), prior, classes, states)
-    p.emit[END] = prior[END]
+    order = np.argsort(held)
+    return Vocabulary(words, held[order], n[order], top, prior, classes, total + _ALPHA * (many + 1), class_share, pairs.reshape(CLASSES, CLASSES), tokens, types, ends)
+
+
+def encode(docs: DataFrame, v: Vocabulary, scratch: Scratch) -> DataFrame:
+    """The texts of ``docs`` (doc_id, text, held_out) as symbols, with what needs no hidden states.
+
+    A row has a key, n_tokens, n_known, base (log10 of the counts of the words that a task holds), word (log10 of their
+    shares of their classes), and ids and times of the words that a task does not hold. Each text is read whole, once.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((v.top, v.held, v.held_counts, v.class_total, v.ends))
+    arrow = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("word", pa.float64()), ("ids", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("symbols", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        top, known, counts, class_total, ends = held.value
+        words, key = Ids(), TaskContext.get().partitionId() << 40
+        log_counts, log_class = np.log10(counts + _ALPHA), np.log10(class_total)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                out: dict[str, list] = {name: [] for name in arrow.names}
+                for text in b["text"]:
+                    ids = words.array(split_words(text.as_py()))
+                    symbols = _symbols(ids, top)
+                    at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
+                    here = known[at] == ids if len(known) else np.zeros(len(ids), bool)
+                    in_class = symbols[:-1] >= SYMBOLS
+                    rare, times = np.unique(ids[~here], return_counts=True)
+                    out["key"].append(key)
+                    out["n_tokens"].append(len(symbols))
+                    out["n_known"].append(int(here.sum()) + (ends > 0))
+                    out["base"].append(float(log_counts[at[here]].sum() + np.log10(ends + _ALPHA)))
+                    out["word"].append(float(log_counts[at[in_class & here]].sum() - log_class[symbols[:-1][in_class] - SYMBOLS].sum()))
+                    out["ids"].append(as_int64(rare))
+                    out["times"].append(times.astype(np.int32))
+                    out["symbols"].append(symbols.astype(np.uint16).tobytes())
+                    key += 1
+                rest = [pa.array(out[n], arrow.field(n).type) for n in arrow.names if n not in ("doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([rest[0], b["doc_id"], b["held_out"], *rest[1:]], schema=arrow)
+
+    schema = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, word double, ids array<long>, times array<int>, symbols binary"
+    return scratch.write(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema), "encoded")
+
+
+def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint16) for x in batch["symbols"]]
+
+
+def baum_welch(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> tuple[Parameters, list[float]]:
+    """The parameters after so many rounds over all encoded texts, and the log-likelihood before each round."""
+    p = initial(v.pairs, v.class_share, v.prior, v.classes, states)
+    p.emit[END] = v.prior[END]
     p.emit /= p.emit.sum(0)
     seen = []
     for _ in range(rounds):
-        counts = _expected(docs, p, top)
+        counts = _expected(encoded, p)
         seen.append(counts.log_likelihood)
-        p = maximised(counts, prior)
-    order = np.argsort(held)
-    return Model(p, words, top, held[order], n[order], total + _ALPHA * (many + 1), tokens, types, ends, seen)
+        p = maximised(counts, v.prior)
+    return p, seen
 
 
-def _expected(docs: DataFrame, p: Parameters, top: np.ndarray) -> Counts:
+def _expected(encoded: DataFrame, p: Parameters) -> Counts:
     """The expected counts over all texts: each task's are rows by symbol, which are summed before they are read."""
     states = len(p.start)
-    held = docs.sparkSession.sparkContext.broadcast((p.start, p.move, p.emit, top))
+    held = encoded.sparkSession.sparkContext.broadcast((p.start, p.move, p.emit))
     names = [f"c{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit, top = held.value
-        own, words, counts = Parameters(start, move, emit), Ids(), Counts.zero(states)
+        own, counts = Parameters(*held.value), Counts.zero(states)
         for b in batches:
-            found = [_symbols(words.array(split_words(t.as_py())), top) for t in b["text"]]
+            found = _sequences(b)
             for part in _chunks(found):
                 expect(own, [found[i] for i in part], counts)
         # After the symbols: a row for each state's moves, one for starts and one for the likelihood.
@@ -302,76 +363,43 @@ def _expected(docs: DataFrame, p: Parameters, top: np.ndarray) -> Counts:
         some = np.flatnonzero(np.any(rows != 0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(rows[some, k]) for k in range(states)]], names=["symbol", *names])
 
-    parts = docs.select("text").mapInArrow(run, "symbol long, " + ", ".join(f"{c} double" for c in names))
+    parts = encoded.select("symbols").mapInArrow(run, "symbol long, " + ", ".join(f"{c} double" for c in names))
     summed = parts.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
     rows = np.zeros((WIDTH + states + 2, states))
     rows[summed["symbol"].to_numpy()] = summed[names].to_numpy()
     return Counts(rows[WIDTH + states], rows[WIDTH : WIDTH + states], rows[:WIDTH], float(rows[-1, 0]))
 
 
-def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score and score of every row of ``docs`` (doc_id, text, held_out).
+def score(encoded: DataFrame, p: Parameters, v: Vocabulary) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every encoded text.
 
-    Each text is read whole, once. Words whose counts a task holds are scored there; a text's other words go as rows of
-    (text, word, times) to the table of counts and come back as sums by text.
+    Words that no task holds go as rows of (text, word, times) to the table of counts and come back as sums by text.
     """
-    p = model.parameters
-    held = docs.sparkSession.sparkContext.broadcast((p.start, p.move, p.emit, model.top, model.held, model.held_counts, model.class_total, model.ends))
-    arrow = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    held = encoded.sparkSession.sparkContext.broadcast((p.start, p.move, p.emit))
+    columns = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        start, move, emit, top, known, counts, class_total, ends = held.value
-        own, words, key = Parameters(start, move, emit), Ids(), TaskContext.get().partitionId() << 40
-        log_counts, log_class = np.log10(counts + _ALPHA), np.log10(class_total)
+        own = Parameters(*held.value)
         for b in batches:
-            out = {name: [] for name in arrow.names}
-            found = []
-            for text in b["text"]:
-                ids = words.array(split_words(text.as_py()))
-                symbols = _symbols(ids, top)
-                found.append(symbols)
-                at = np.minimum(np.searchsorted(known, ids), max(0, len(known) - 1))
-                here = known[at] == ids if len(known) else np.zeros(len(ids), bool)
-                logs = log_counts[at[here]]
-                in_class = symbols[:-1] >= SYMBOLS
-                shared = in_class & here
-                rare, times = np.unique(ids[~here], return_counts=True)
-                # The part of a word in its class; the class's total counts for rare words too.
-                word = log_counts[at[shared]].sum() - log_class[symbols[:-1][in_class] - SYMBOLS].sum()
-                out["key"].append(key)
-                out["n_tokens"].append(len(symbols))
-                out["n_known"].append(int(here.sum()) + (ends > 0))
-                out["base"].append(float(logs.sum() + np.log10(ends + _ALPHA)))
-                out["score"].append(float(word))
-                out["ids"].append(as_int64(rare))
-                out["times"].append(times.astype(np.int32))
-                key += 1
+            found, hidden = _sequences(b), np.zeros(b.num_rows)
             for part in _chunks(found):
-                for i, x in zip(part, forward(own, [found[i] for i in part]), strict=True):
-                    out["score"][i] += float(x) / math.log(10)
-            rest = [pa.array(out[n], arrow.field(n).type) for n in arrow.names if n not in ("doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays([rest[0], b["doc_id"], b["held_out"], *rest[1:]], schema=arrow)
-
-    rows = scratch.write(
-        docs.select("doc_id", "held_out", "text").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, ids array<long>, times array<int>"),
-        "scored",
-    )
-    pairs = rows.select("key", F.explode(F.arrays_zip("ids", "times")).alias("x")).select("key", F.col("x.ids").alias("id"), F.col("x.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    logs = F.col("times") * F.log10(n + _ALPHA)
-    sums = pairs.join(model.words, "id", "left").groupBy("key").agg(F.sum(logs).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    whole = math.log10(model.tokens + _ALPHA * (model.types + 1))
+                hidden[part] = forward(own, [found[i] for i in part]) / math.log(10)
+            yield b.select(columns).append_column("hidden", pa.array(hidden))
+
+    rows = encoded.select(*columns, "symbols").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, word double, hidden double")
+    pairs = encoded.select("key", F.explode(F.arrays_zip("ids", "times")).alias("x")).select("key", F.col("x.ids").alias("id"), F.col("x.times").alias("times"))
+    logs = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + _ALPHA)
+    sums = pairs.join(v.words, "id", "left").groupBy("key").agg(F.sum(logs).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
+    whole = math.log10(v.tokens + _ALPHA * (v.types + 1))
     rare = F.coalesce("rare", F.lit(0.0))
     return rows.join(sums, "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + rare - F.col("n_tokens") * whole).alias("base_score"),
-        (F.col("score") + rare).alias("score"),
+        (F.col("hidden") + F.col("word") + rare).alias("score"),
     )
 
 
@@ -383,7 +411,10 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataF
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~in_training(F.col("doc_id"))).alias("held_out"))
-    return score(rows, train(rows.where("not held_out"), scratch, states, rounds), scratch)
+    v = vocabulary(rows.where("not held_out"), scratch)
+    encoded = encode(rows, v, scratch)
+    p, _ = baum_welch(encoded.where("not held_out"), v, states, rounds)
+    return score(encoded, p, v)
 
 
 def op8_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

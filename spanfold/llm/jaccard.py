@@ -13,7 +13,7 @@ of which a partner must hold at least one token (of n tokens, the first n - ceil
 4. Open. The documents of qualifying groups that hold the token are compared with the query, exactly.
 
 Every pair at the threshold shares its first common token in both prefixes, so it is in one group or meets in step 4.
-Pairs inside a group are connected already and are not compared again.
+Pairs inside a group are connected already; components() does not compare them again, and linked() compares them all.
 
 Before texts are compared, so are bitmaps, of which bit h is the parity of the number of tokens with that hash. Two
 bitmaps differ in no more bits than the sets differ in tokens, so a pair whose bitmaps differ too much is no link.
@@ -36,6 +36,8 @@ PERCENT = 75
 #: result; this one keeps common passages out of prefixes. The ranks take 2^22 bytes whatever the number of tokens.
 SLICE, RANK_BITS = 1024, 22
 _PER_HUB = 1024
+#: Sets of a group that a task holds at once, and their tokens, on average.
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -232,16 +234,9 @@ def _open(matrix: DataFrame) -> DataFrame:
     return opened.join(m, meets).select(F.col("m.doc").alias("a"), F.col("o.doc").alias("b")).distinct()
 
 
-def components(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
-
-    n_shingles counts the distinct shingles of ``width`` words; a text with fewer words is one shingle; a null or empty
-    text, or one of white space, has none and links with nothing. component_id is the smallest doc_id that links reach.
-    Rows that share an id count as one document with several texts; a row without an id has no component. Further
-    columns are ignored; an empty table gives no rows. Shingles are told apart by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+def _grouped(docs: DataFrame, width: int) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
+    """Scratch, texts (doc, text), sizes (doc_id, n, f1, f2, bits) of every row, and groups (node, component)."""
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = scratch.write(_profiles(docs, width), "profiles")
     sizes = profiles.where("f1 is not null").select("doc_id", "n", "f1", "f2", "bits")
@@ -267,6 +262,119 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
     scratch.drop(texts)
     if not more.isEmpty():
         groups = connected_components(scratch, links.unionByName(more))
+    return scratch, docs.select(F.col("doc_id").alias("doc"), "text"), sizes, groups
+
+
+def _overlaps(tokens: np.ndarray, owner: np.ndarray, many: int, s: np.ndarray) -> np.ndarray:
+    """How many tokens ``s`` shares with each of ``many`` sets, given as sorted tokens and whose they are."""
+    lo = np.searchsorted(tokens, s, "left")
+    times = np.searchsorted(tokens, s, "right") - lo
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+    return np.bincount(owner[at], minlength=many)
+
+
+def _partial_links(tasks: DataFrame, width: int) -> DataFrame:
+    """f1, f2 and links (a part of the sum) of sets with links, weighted by copies.
+
+    A task holds one block of a group's sets and streams past it those of the group's later blocks.
+    """
+    arrow = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("links", pa.int64())])
+
+    def batch_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, key, last = WordIds(), None, None
+        own: list[tuple[tuple[int, int], int, np.ndarray]] = []
+        tokens = owner = size = weights = links = None
+
+        def build() -> None:
+            nonlocal tokens, owner, size, weights, links
+            size = np.array([len(s) for _, _, s in own])
+            weights = np.array([w for _, w, _ in own], np.int64)
+            links = np.zeros(len(own), np.int64)
+            tokens, owner = np.concatenate([s for _, _, s in own]), np.repeat(np.arange(len(own)), size)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for i, (_, _, s) in enumerate(own):
+                links[i] = weights[linked_to(s)].sum() - weights[i]  # less itself
+
+        def linked_to(s: np.ndarray) -> np.ndarray:
+            both = _overlaps(tokens, owner, len(own), s)
+            return 100 * both >= PERCENT * (size + len(s) - both)
+
+        def done() -> list[tuple[int, int, int]]:
+            if own and tokens is None:
+                build()
+            return [(*f, int(n)) for (f, _, _), n in zip(own, links, strict=True) if n] if own else []
+
+        for batch in batches:
+            found = []
+            columns = [batch[c].to_pylist() for c in ("component", "to", "visitor", "f1", "f2", "weight")]
+            for component, to, visitor, f1, f2, weight, text in zip(*columns, batch["text"], strict=True):
+                if (component, to) != key:
+                    found += done()
+                    key, own, tokens, last = (component, to), [], None, None
+                s = shingles(ids.array(split_words(text.as_py())), width)
+                if not len(s) or _fingerprint(s) != (f1, f2):
+                    continue  # another row of the same id
+                if last == (f1, f2):
+                    continue  # rows of one set and id come one after the other
+                last = f1, f2
+                if not visitor:
+                    own.append(((f1, f2), weight, s))
+                    continue
+                if not own:
+                    continue
+                if tokens is None:
+                    build()
+                to_these = linked_to(s)
+                if to_these.any():
+                    links[to_these] += weight
+                    found.append((f1, f2, int(weights[to_these].sum())))
+            if found:
+                yield batch_of(found)
+        if found := done():
+            yield batch_of(found)
+
+    dealt = tasks.repartition("component", "to").sortWithinPartitions("component", "to", "visitor", "f1", "f2")
+    return dealt.mapInArrow(run, "f1 long, f2 long, links long")
+
+
+def linked(docs: DataFrame, width: int = 5) -> DataFrame:
+    """What components() gives and n_links: the number of other rows with an id whose sets reach the threshold.
+
+    Every link is inside a component, so the distinct sets of a component are all compared, exactly, and counted with
+    their copies. A component of many sets is dealt in blocks, as op1's cells are; sums leave a task, never pairs.
+    """
+    scratch, texts, sizes, groups = _grouped(docs, width)
+    known = sizes.where("n > 0 and doc_id is not null").join(groups, F.col("doc_id") == F.col("node"), "left")
+    sets = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("component", "doc_id")).alias("component"), F.count("*").alias("weight"))
+    sets = scratch.write(sets, "sets")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    spread = scratch.write(sets.groupBy("component").agg(F.count("*").alias("many"), blocks.alias("blocks")).where("many > 1").drop("many"), "spread")
+    # Components of several blocks are few; without them, no component is hot.
+    large = F.broadcast(spread.where("blocks > 1"))
+    members = sets.join(large, "component").unionByName(sets.join(large.drop("blocks"), "component", "left_anti").join(spread.where("blocks = 1"), "component"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int")).drop("n", "blocks")
+    members = members.join(texts.where("text is not null"), "doc")
+    tasks = members.withColumn("to", F.explode(F.sequence(F.lit(0), "block"))).withColumn("visitor", F.col("to") != F.col("block")).drop("doc", "block")
+    links = scratch.write(_partial_links(tasks, width).groupBy("f1", "f2").agg(F.sum("links").alias("links")), "links")
+    counts = sets.join(links, ["f1", "f2"], "left").select("n", "f1", "f2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    every = sizes.join(counts, ["n", "f1", "f2"], "left").join(groups, F.col("doc_id") == F.col("node"), "left")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.col("n_links"))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
+
+
+def components(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``.
+
+    n_shingles counts the distinct shingles of ``width`` words; a text with fewer words is one shingle; a null or empty
+    text, or one of white space, has none and links with nothing. component_id is the smallest doc_id that links reach.
+    Rows that share an id count as one document with several texts; a row without an id has no component. Further
+    columns are ignored; an empty table gives no rows. Shingles are told apart by 64-bit hashes.
+    """
+    _, _, sizes, groups = _grouped(docs, width)
     return sizes.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -280,6 +388,10 @@ def op4_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
 
+def op4_token_group_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
@@ -300,3 +412,4 @@ links AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN component c ON c.node = d.doc_id
 """
+OP4_LINKS_SQL = OP4_SQL.replace("AS component_id\nFROM", "AS component_id,\n  (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links\nFROM")

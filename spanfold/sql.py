@@ -247,6 +247,16 @@ class Translator:
             return 0, f"CAST(timestamp_micros({at} - pmod({at} - {_BUCKET_ORIGIN}L, {width}L)) AS TIMESTAMP_NTZ)"
         if low == "extract" and _word(args.items[0], "EPOCH"):
             return 0, self._epoch(args.items[2:])
+        if low == "extract" and _word(args.items[0], "DOW", "DAYOFWEEK") or low == "date_part" and _word(parts[0][0], "'DOW'", "'DAYOFWEEK'"):
+            return 0, f"(dayofweek({r(args.items[2:])}) - 1)"  # Sunday is 0
+        if low == "sha256":
+            return 0, f"sha2({r(parts[0])}, 256)"
+        if low == "skewness":
+            if after and _word(after[0], "FILTER", "OVER"):
+                raise Unsupported("skewness has no form with FILTER or OVER")
+            x = r(args.items)
+            n = f"CAST(count({x}) AS DOUBLE)"
+            return 0, f"(CASE WHEN count({x}) > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * skewness({x}) END)"  # of a sample
         if low == "epoch":
             return 0, self._epoch(args.items)
         if low in ("string_agg", "group_concat", "listagg"):

@@ -1,4 +1,4 @@
-"""SQL text of the embedded engine's dialect on Spark: a token-level translation, and results as JSON values."""
+"""SQL in the embedded engine's dialect on Spark: statements, dashboard macros, and results as JSON values."""
 
 from __future__ import annotations
 
@@ -9,317 +9,16 @@ import json
 import math
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TOKEN = re.compile(
-    r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)|(?P<string>'(?:[^']|'')*')|(?P<quoted>"(?:[^"]|"")*")|(?P<number>\d+\.\d*(?:[eE][+-]?\d+)?|\.\d+|\d+(?:[eE][+-]?\d+)?)"""
-    r"""|(?P<word>[A-Za-z_$][A-Za-z0-9_$]*)|(?P<mark>::|->>|->|:=|<=|>=|<>|!=|\|\||//|\*\*|.)""",
-    re.S,
-)
-# Names in the two dialects.
-TYPES = {"VARCHAR": "STRING", "TEXT": "STRING", "HUGEINT": "DECIMAL(38,0)", "TIMESTAMPTZ": "TIMESTAMP", "BLOB": "BINARY", "UBIGINT": "DECIMAL(20,0)"}
-RENAMED = {
-    "quantile_cont": "percentile", "arg_max": "max_by", "arg_min": "min_by", "list": "collect_list", "array_agg": "collect_list",
-    "list_filter": "filter", "list_transform": "transform", "list_contains": "array_contains", "list_distinct": "array_distinct",
-    "list_sort": "array_sort", "regexp_matches": "regexp_like", "unnest": "explode", "cardinality": "size", "string_split": "split",
-    "list_sum": "array_sum", "starts_with": "startswith", "ends_with": "endswith", "today": "current_date", "epoch_us": "unix_micros", "make_date": "make_date", "strlen": "octet_length",
-}
-_STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "f": "SSSSSS", "j": "DDD", "y": "yy", "%": "%"}
-#: Wide intervals count from this Monday, in microseconds since 1970 (2000-01-03).
-_BUCKET_ORIGIN = 946_857_600_000_000
-_UNITS = {"microsecond": 1, "millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6, "week": 7 * 86400 * 10**6}
+from .dialect import Translator, Unsupported, is_word, parse
 
+__all__ = ["Unsupported", "encode", "execute", "macros", "query", "translate"]
 
-class Unsupported(ValueError):
-    """SQL that has no form in Spark."""
 
-
-@dataclass
-class Group:
-    """What stands between brackets."""
-
-    open: str
-    items: list
-
-    @property
-    def close(self) -> str:
-        return {"(": ")", "[": "]", "{": "}"}[self.open]
-
-
-def _parse(text: str) -> list:
-    stack: list[list] = [[]]
-    opened: list[str] = []
-    for m in _TOKEN.finditer(text):
-        if m.lastgroup == "space":
-            continue
-        token = m.group()
-        if token in "([{" and m.lastgroup == "mark":
-            opened.append(token)
-            stack.append([])
-        elif token in ")]}" and m.lastgroup == "mark":
-            if not opened:
-                raise Unsupported("brackets don't match")
-            inner = stack.pop()
-            stack[-1].append(Group(opened.pop(), inner))
-        else:
-            stack[-1].append(token)
-    if opened:
-        raise Unsupported("brackets don't match")
-    return stack[0]
-
-
-def _word(x, *names: str) -> bool:
-    return isinstance(x, str) and x.upper() in names
-
-
-def _split(items: list, mark: str = ",") -> list[list]:
-    parts: list[list] = [[]]
-    for x in items:
-        if x == mark:
-            parts.append([])
-        else:
-            parts[-1].append(x)
-    return parts if parts != [[]] else []
-
-
-def _text(token: str) -> str:
-    return token[1:-1].replace("''", "'")
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _micros(interval: list) -> int:
-    """Microseconds of INTERVAL '5 minutes', INTERVAL 5 MINUTE or a bare '5 minutes'."""
-    words = " ".join(_text(x) if x.startswith("'") else x for x in interval if not _word(x, "INTERVAL") and isinstance(x, str))
-    total = 0
-    for n, unit in re.findall(r"(\d+)\s*([A-Za-z]+)", words):
-        unit = unit.lower().rstrip("s")
-        if unit not in _UNITS:
-            raise Unsupported(f"an interval of {unit}s has no fixed length")
-        total += int(n) * _UNITS[unit]
-    return total
-
-
-class Translator:
-    """Translates one statement. ``as_of`` stands for the present; ``scan`` names the view behind a table function."""
-
-    def __init__(self, as_of: datetime.datetime | None = None, scan: Callable[[str, list], str] | None = None):
-        self.as_of, self.scan = as_of, scan
-
-    def statement(self, text: str) -> str:
-        items = _parse(text.strip().rstrip(";"))
-        if _word(items[0], "EXPLAIN"):
-            rest = items[2:] if len(items) > 1 and _word(items[1], "ANALYZE") else items[1:]
-            return "EXPLAIN FORMATTED " + self.render(rest)
-        if len(items) > 3 and any(_word(x, "MACRO") for x in items[:4]):
-            return self._macro(items)
-        if _word(items[0], "COPY"):
-            return self._copy(items)
-        return self.render(items)
-
-    def _macro(self, items: list) -> str:
-        at = next(i for i, x in enumerate(items) if _word(x, "MACRO"))
-        name, args = items[at + 1], [p[0] for p in _split(items[at + 2].items)]
-        body = items[at + 4 :]
-        if _word(body[0], "TABLE"):
-            return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{a} STRING' for a in args)}) RETURNS TABLE RETURN {self.render(body[1:])}"
-        return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{a} STRING' for a in args)}) RETURN {self.render(body)}"
-
-    def _copy(self, items: list) -> str:
-        """COPY t TO 'folder' (FORMAT f) writes files of that format; Parquet if none is named."""
-        at = next(i for i, x in enumerate(items) if _word(x, "TO"))
-        options = items[at + 2].items if len(items) > at + 2 else []
-        kind = next((options[i + 1] for i, x in enumerate(options) if _word(x, "FORMAT")), "parquet").strip("'").lower()
-        source = items[1].items if isinstance(items[1], Group) else ["SELECT", "*", "FROM", *items[1:at]]
-        return f"INSERT OVERWRITE DIRECTORY {_quoted(_text(items[at + 1]))} USING {kind} {self.render(source)}"
-
-    def render(self, items: list) -> str:
-        items = self._qualify(items)
-        out: list[str] = []
-        i = 0
-        while i < len(items):
-            x = items[i]
-            nxt = items[i + 1] if i + 1 < len(items) else None
-            if isinstance(x, Group):
-                out.append(self.group(x))
-            elif _word(x, "ORDER") and _word(nxt, "BY"):
-                i = self._order(items, i + 2, out)
-                continue
-            elif x == "::":
-                name = nxt.upper()
-                sized = i + 2 < len(items) and isinstance(items[i + 2], Group) and items[i + 2].open == "("
-                out.append("::" + (nxt if sized else TYPES.get(name, nxt)))
-                i += 2
-                continue
-            elif x == "->>" and isinstance(nxt, str):
-                key = _text(nxt)
-                out[-1] = f"get_json_object({out[-1]}, {_quoted(key if key.startswith('$') else '$.' + key)})"
-                i += 2
-                continue
-            elif x == "//":
-                out.append("div")
-            elif x.startswith("'"):
-                out.append(_quoted(_text(x)))
-            elif x.startswith('"'):
-                out.append("`" + x[1:-1].replace('""', '"').replace("`", "``") + "`")
-            elif re.fullmatch(r"\d+\.\d*|\.\d+", x):
-                out.append(x + "D")
-            elif _word(x, "POSITIONAL") and _word(nxt, "JOIN"):
-                raise Unsupported("a positional join has no order to go by in Spark")
-            elif _word(x, "ASOF") and (_word(nxt, "JOIN") or _word(nxt, "LEFT")):
-                raise Unsupported("use operators.joins.asof_join")
-            elif _word(x, "SEMI", "ANTI") and _word(nxt, "JOIN"):
-                out.append("LEFT " + x)
-            elif _word(x, "EXCLUDE") and out and out[-1].endswith("*"):
-                inner = nxt if isinstance(nxt, Group) else Group("(", [nxt])
-                out.append("EXCEPT " + self.group(inner))
-                i += 2
-                continue
-            elif _word(x, "CURRENT_TIMESTAMP") and self.as_of:
-                out.append(self._now())
-            elif _word(x, "CURRENT_DATE") and self.as_of:
-                out.append(f"DATE '{self.as_of:%Y-%m-%d}'")
-            elif _word(x, "LAMBDA") and ":" in items[i:]:
-                at = items.index(":", i)
-                names = [x for x in items[i + 1 : at] if x != ","]
-                out.append((names[0] if len(names) == 1 else f"({', '.join(names)})") + " -> " + self.render(items[at + 1 :]))
-                break
-            elif re.match(r"[A-Za-z_]", x) and isinstance(nxt, Group) and nxt.open == "(" and not (out and out[-1] == "."):
-                used, text = self.call(x, nxt, items[i + 2 :])
-                out.append(text)
-                i += 2 + used
-                continue
-            else:
-                out.append(x)
-            i += 1
-        return re.sub(r"\s*\.\s*(?=[A-Za-z_`*])", ".", " ".join(out)).replace(" ::", "::")
-
-    def _now(self) -> str:
-        return f"CAST('{self.as_of:%Y-%m-%d %H:%M:%S.%f}' AS TIMESTAMP_NTZ)"
-
-    def group(self, g: Group) -> str:
-        return g.open + self.render(g.items) + g.close
-
-    def _order(self, items: list, i: int, out: list[str]) -> int:
-        """ORDER BY with nulls last where nothing else is said, as the other dialect has it."""
-        keys: list[list] = [[]]
-        while i < len(items) and not _word(items[i], "LIMIT", "OFFSET", "ROWS", "RANGE", "GROUPS", "UNION", "INTERSECT", "EXCEPT", "FETCH", "QUALIFY"):
-            if items[i] == ",":
-                keys.append([])
-            else:
-                keys[-1].append(items[i])
-            i += 1
-        written = []
-        for k in keys:
-            text = self.render(k)
-            written.append(text if any(_word(x, "NULLS") for x in k) or _word(k[0], "ALL") else text + " NULLS LAST")
-        out.append("ORDER BY " + ", ".join(written))
-        return i
-
-    def _qualify(self, items: list) -> list:
-        """SELECT … QUALIFY c becomes a filter over a derived table; the rest of the statement follows it."""
-        at = next((i for i, x in enumerate(items) if _word(x, "QUALIFY")), None)
-        if at is None:
-            return items
-        end = next((i for i in range(at, len(items)) if _word(items[i], "LIMIT", "UNION", "INTERSECT") or _word(items[i], "ORDER") and _word(items[i + 1], "BY")), len(items))
-        start = max(i for i, x in enumerate(items[:at]) if _word(x, "SELECT"))
-        source = next(i for i in range(start, at) if _word(items[i], "FROM"))
-        inner = [*items[start:source], ",", Group("(", items[at + 1 : end]), "AS", "__kept", *items[source:at]]
-        return [*items[:start], "SELECT", "*", "EXCLUDE", Group("(", ["__kept"]), "FROM", Group("(", inner), "WHERE", "__kept", *items[end:]]
-
-    def call(self, name: str, args: Group, after: list) -> tuple[int, str]:
-        """How many items after the call were used, and its text."""
-        low, parts = name.lower(), _split(args.items)
-        r = self.render
-        if low in ("cast", "try_cast"):
-            at = max(i for i, x in enumerate(args.items) if _word(x, "AS"))
-            kind = args.items[at + 1 :]
-            text = TYPES.get(kind[0].upper(), kind[0]) if len(kind) == 1 and isinstance(kind[0], str) else r(kind)
-            return 0, f"{name}({r(args.items[:at])} AS {text})"
-        if low == "approx_quantile":
-            return 0, f"percentile_approx({r(parts[0])}, {r(parts[1])}, 10000)"
-        if low == "time_bucket":
-            width, at = _micros(parts[0]), f"unix_micros(CAST({r(parts[1])} AS TIMESTAMP))"
-            return 0, f"CAST(timestamp_micros({at} - pmod({at} - {_BUCKET_ORIGIN}L, {width}L)) AS TIMESTAMP_NTZ)"
-        if low == "extract" and _word(args.items[0], "EPOCH"):
-            return 0, self._epoch(args.items[2:])
-        if low == "extract" and _word(args.items[0], "DOW", "DAYOFWEEK") or low == "date_part" and _word(parts[0][0], "'DOW'", "'DAYOFWEEK'"):
-            return 0, f"(dayofweek({r(args.items[2:])}) - 1)"  # Sunday is 0
-        if low == "sha256":
-            return 0, f"sha2({r(parts[0])}, 256)"
-        if low == "skewness":
-            if after and _word(after[0], "FILTER", "OVER"):
-                raise Unsupported("skewness has no form with FILTER or OVER")
-            x = r(args.items)
-            n = f"CAST(count({x}) AS DOUBLE)"
-            return 0, f"(CASE WHEN count({x}) > 2 THEN sqrt({n} * ({n} - 1)) / ({n} - 2) * skewness({x}) END)"  # of a sample
-        if low == "epoch":
-            return 0, self._epoch(args.items)
-        if low in ("string_agg", "group_concat", "listagg"):
-            order = next((i for i, x in enumerate(args.items) if _word(x, "ORDER")), None)
-            inner = _split(args.items[:order])
-            text = f"listagg({r(inner[0])}, {r(inner[1]) if len(inner) > 1 else _quoted(',')})"
-            if order is not None:
-                sort: list[str] = []
-                self._order(args.items, order + 2, sort)
-                text += f" WITHIN GROUP ({sort[0]})"
-            return 0, text
-        if low in ("json_extract_string", "json_extract"):
-            key = _text(parts[1][0])
-            key = key if key.startswith("$") else "$." + key
-            return 0, f"get_json_object({r(parts[0])}, {_quoted(re.sub(r'\."([^"]*)"', lambda m: f"['{m[1]}']", key))})"
-        if low == "list_extract":
-            return 0, f"try_element_at({r(parts[0])}, {r(parts[1])})"
-        if low == "regexp_extract" and len(parts) == 2:
-            return 0, f"regexp_extract({r(parts[0])}, {r(parts[1])}, 0)"
-        if low == "regexp_replace":
-            everywhere = len(parts) > 3 and "g" in _text(parts[3][0])
-            swap = re.sub(r"\\(\d)", r"$\1", _text(parts[2][0])) if isinstance(parts[2][0], str) and parts[2][0].startswith("'") else None
-            to = _quoted(swap) if swap is not None else r(parts[2])
-            if everywhere:
-                return 0, f"regexp_replace({r(parts[0])}, {r(parts[1])}, {to})"
-            pattern = "'(?s)^(.*?)(?:' || " + r(parts[1]) + " || ')'" if not isinstance(parts[1][0], str) else _quoted("(?s)^(.*?)(?:" + _text(parts[1][0]) + ")")
-            return 0, f"regexp_replace({r(parts[0])}, {pattern}, {_quoted('$1' + (swap or ''))})"
-        if low == "strftime":
-            return 0, f"date_format({r(parts[0])}, {_quoted(self._pattern(_text(parts[1][0])))})"
-        if low == "strptime":
-            return 0, f"CAST(to_timestamp({r(parts[0])}, {_quoted(self._pattern(_text(parts[1][0])))}) AS TIMESTAMP_NTZ)"
-        if low == "struct_pack":
-            return 0, "named_struct(" + ", ".join(f"'{p[0]}', {r(p[2:])}" for p in parts) + ")"
-        if low == "now" and not parts and self.as_of:
-            return 0, self._now()
-        if low in ("read_parquet", "read_json", "read_json_auto"):
-            files = parts[0][0].items if isinstance(parts[0][0], Group) else parts[0]
-            scans = [f"SELECT * FROM {low.split('_')[1]}.`{_text(f)}`" for f in files if f != ","]
-            return 0, "(" + " UNION ALL ".join(scans) + ")"
-        if low == "iceberg_scan":
-            if not self.scan:
-                raise Unsupported("no table behind iceberg_scan")
-            return 0, self.scan(_text(parts[0][0]), parts[1:])
-        return 0, f"{RENAMED.get(low, name)}{self.group(args)}"
-
-    def _epoch(self, items: list) -> str:
-        if _word(items[0], "INTERVAL"):
-            return f"{_micros(items) / 1e6!r}D"
-        inner = items[0].items if len(items) == 1 and isinstance(items[0], Group) else items
-        seconds = lambda x: f"(unix_micros(CAST({self.render(x)} AS TIMESTAMP)) / 1e6D)"
-        if "-" in inner and not any(_word(x, "INTERVAL") for x in inner):
-            at = inner.index("-")
-            micros = lambda x: f"unix_micros(CAST({self.render(x)} AS TIMESTAMP))"
-            return f"(({micros(inner[:at])} - {micros(inner[at + 1 :])}) / 1e6D)"
-        return seconds(inner)
-
-    @staticmethod
-    def _pattern(fmt: str) -> str:
-        return re.sub(r"%([A-Za-z%])|([A-Za-z]+)", lambda m: _STRFTIME[m[1]] if m[1] else f"'{m[2]}'", fmt)
-
-
-def translate(text: str, as_of: datetime.datetime | None = None, scan: Callable[[str, list], str] | None = None) -> str:
-    return Translator(as_of, scan).statement(text)
+def translate(text: str, as_of: datetime.datetime | None = None, scan: Callable[[str, list], str] | None = None, spark: SparkSession | None = None) -> str:
+    return Translator(as_of, scan, spark).statement(text)
 
 
 def macros(text: str, interval: str, start: str, end: str, **variables: str) -> str:
@@ -356,7 +55,14 @@ def encode(value):
 def query(spark: SparkSession, text: str, as_of: datetime.datetime | None = None, scan=None) -> DataFrame:
     if not text or not text.strip():
         raise ValueError("the statement is empty")
-    return spark.sql(translate(text, as_of, scan))
+    items = parse(text.strip().rstrip(";"))
+    if [x.upper() for x in items[:4] if isinstance(x, str)] == ["CREATE", "OR", "REPLACE", "TABLE"]:  # Spark has no such statement for plain tables
+        as_at = next(i for i, x in enumerate(items) if is_word(x, "AS"))
+        name = "".join(items[4:as_at])
+        made = Translator(as_of, scan, spark).render(items[as_at + 1 :])
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        return spark.sql(f"CREATE TABLE {name} AS {made}")
+    return spark.sql(translate(text, as_of, scan, spark))
 
 
 def execute(spark: SparkSession, text: str, as_of: datetime.datetime | None = None, scan=None) -> dict:

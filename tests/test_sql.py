@@ -20,7 +20,7 @@ from spanfold.operators import capture, catalog, inject, joins
         ("SELECT a FROM t ORDER BY a DESC, b NULLS FIRST LIMIT 3", "SELECT a FROM t ORDER BY a DESC NULLS LAST, b NULLS FIRST LIMIT 3"),
         ("SELECT * EXCLUDE (a) FROM t", "SELECT * EXCEPT (a) FROM t"),
         ("SELECT 'union_spans ORDER BY' FROM t", "SELECT 'union_spans ORDER BY' FROM t"),
-        ("SELECT list(x) FROM read_parquet('/a b/c.parquet')", "SELECT collect_list(x) FROM (SELECT * FROM parquet.`/a b/c.parquet`)"),
+        ("SELECT list(x) FROM read_parquet('/a b/c.parquet')", "SELECT transform(collect_list(struct(x AS v)), __e -> __e.v) FROM (SELECT * FROM parquet.`/a b/c.parquet`)"),
     ],
 )
 def test_translation(text, want):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Columns whose values are no choices.
+# Columns whose values are no choices, and how many values a list has by default and at most.
 SKIPPED = ("trace_id", "span_id", "parent_span_id", "session_id", "tenant_id", "attributes", "events", "record_date")
 DEFAULT_LIMIT, MOST = 500, 10_000
 

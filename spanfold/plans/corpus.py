@@ -72,9 +72,6 @@ WHERE l.severity_number >= 17 ORDER BY l.timestamp DESC, l.log_id LIMIT 100""",
     "service_selector": "SELECT DISTINCT app_id FROM committed_spans WHERE record_date >= DATE '2024-01-20' ORDER BY app_id",
     "unified_timeline": f"""SELECT timestamp, 'trace' AS type, message_type AS event FROM committed_spans WHERE session_id = {_SESSION}
 UNION ALL SELECT timestamp, 'log' AS type, body AS event FROM committed_logs WHERE session_id = {_SESSION} ORDER BY timestamp, type, event""",
-    "verify_session": f"""WITH a AS (SELECT 'trace' AS type, session_id, trace_id, span_id, message_type AS content, timestamp, record_date FROM traces WHERE session_id = {_SESSION}),
-b AS (SELECT 'log' AS type, session_id, trace_id, span_id, body AS content, timestamp, record_date FROM logs WHERE session_id = {_SESSION})
-SELECT * FROM a UNION ALL SELECT * FROM b ORDER BY timestamp, type, content""",
     # Checks of the tables
     "total_spans": "SELECT COUNT(*) AS total_spans FROM traces",
     "total_logs": "SELECT COUNT(*) AS total_logs FROM logs",
@@ -124,8 +121,12 @@ WHERE attributes['sp.order.id'] IS NOT NULL AND http_response_status_code = 200
 WHERE attributes['sp.session.id'] = 's-9' ORDER BY timestamp ASC""",
     "promoted_lookup": """SELECT span_id, timestamp FROM (SELECT span_id, timestamp, attributes['sp.user.id'] AS promoted_user_id FROM traces) p
 WHERE promoted_user_id = 'user-12'""",
-    "http_fields_by_session": """SELECT session_id, COUNT(http_request_method) AS methods, COUNT(http_request_path) AS paths, COUNT(http_request_body) AS bodies,
-COUNT(http_response_status_code) AS statuses, COUNT(http_response_body) AS answers FROM traces GROUP BY session_id""",
+    "http_fields_by_session": """SELECT session_id, arg_min(http_request_method, n) AS method, arg_min(http_request_path, n) AS path, arg_min(http_request_headers, n) AS request_headers,
+arg_min(http_request_body, n) AS request_body, arg_min(http_response_status_code, n) AS status, arg_min(http_response_headers, n) AS response_headers, arg_min(http_response_body, n) AS response_body
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, span_id) AS n FROM traces) t GROUP BY session_id""",
+    "recent_partitions": "SELECT record_date, COUNT(*) AS n FROM traces WHERE record_date >= CURRENT_DATE - 7 GROUP BY record_date",
+    "key_with_dots": """SELECT span_id, json_extract_string('{"user.id": ' || json_extract_string(http_request_body, '$.k') || '}', '$."user.id"') AS user_id FROM traces
+WHERE http_request_body IS NOT NULL""",
     "business_index": """SELECT session_id, trace_id, span_id, timestamp, json_extract_string(http_request_body, '$.k') AS k, record_date FROM traces
 WHERE timestamp >= (SELECT COALESCE(MAX(timestamp), TIMESTAMP '1970-01-01') FROM traces WHERE record_date < DATE '2024-01-25') AND app_id = 'app-1'""",
     "orders_wide": """SELECT session_id, json_extract_string(http_request_body, '$.k') AS k, timestamp FROM traces WHERE http_request_path LIKE '/api/purch%'""",
@@ -158,15 +159,16 @@ ROUND(skewness(value), 2) AS sk FROM (SELECT event_type, value FROM events) e GR
 ROUND(corr(o_totalprice, o_custkey), 6) AS r, ROUND(covar_pop(o_totalprice, o_custkey), 1) AS cp FROM orders""",
     "agg_boolean": "SELECT user_id, bool_or(event_type = 'error') AS any_error, bool_and(value > 1) AS all_over_one FROM events GROUP BY user_id",
     "agg_arg_extremes": "SELECT event_type, arg_max(event_id, value * 1000000 + event_id) AS top, arg_min(event_id, value * 1000000 + event_id) AS low FROM events GROUP BY event_type",
-    "agg_list": "SELECT user_id, array_join_text FROM (SELECT user_id, STRING_AGG(event_type, '|' ORDER BY event_id DESC) AS array_join_text FROM events GROUP BY user_id) x",
-    "agg_mode": "SELECT user_id % 7 AS u, MAX(n) AS most FROM (SELECT user_id, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2) x GROUP BY 1",
+    "agg_list": "SELECT user_id, array_to_string(list(event_type ORDER BY event_id DESC), '|') AS types FROM events GROUP BY user_id",
+    "agg_mode": "SELECT user_id % 7 AS u, mode(CASE WHEN event_id % 4 < 3 THEN 'often' ELSE event_type END) AS most FROM events GROUP BY 1",
     "agg_percentiles": "SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.5), 3) AS p50, ROUND(quantile_cont(l_extendedprice, 0.99), 3) AS p99 FROM lineitem GROUP BY l_returnflag",
     "agg_distinct_several": "SELECT COUNT(DISTINCT user_id) AS users, COUNT(DISTINCT event_type) AS types, COUNT(DISTINCT CAST(ts AS DATE)) AS days FROM events",
     "agg_having": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15",
     "join_right": "SELECT n_name, COUNT(s_suppkey) AS suppliers FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
     "join_semi": "SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000",
     "join_anti": "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey",
-    "join_natural_using": "SELECT COUNT(*) AS n FROM (SELECT o_orderkey AS k FROM orders) a JOIN (SELECT l_orderkey AS k FROM lineitem) b USING (k)",
+    "join_natural": "SELECT COUNT(*) AS n FROM (SELECT o_orderkey AS k FROM orders) a NATURAL JOIN (SELECT l_orderkey AS k FROM lineitem) b",
+    "join_using": "SELECT COUNT(*) AS n FROM (SELECT o_orderkey AS k FROM orders) a JOIN (SELECT l_orderkey AS k FROM lineitem) b USING (k)",
     "join_small_cross": "SELECT r_name, COUNT(*) AS n FROM region CROSS JOIN nation GROUP BY r_name",
     "join_inequality": """SELECT a.n_name AS a, COUNT(*) AS later FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey GROUP BY a.n_name""",
     "join_parent_child": """SELECT p.message_type AS parent, c.message_type AS child, COUNT(*) AS n FROM union_spans c JOIN union_spans p ON c.parent_span_id = p.span_id
@@ -184,9 +186,19 @@ WHERE r_regionkey = 1 GROUP BY n_name""",
 SELECT COUNT(*) AS users, MAX(n) AS most FROM big""",
     "cte_recursive": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS square FROM t",
     "select_exclude": "SELECT * EXCLUDE (props, ts) FROM events",
-    "pivot_counts": """SELECT user_id % 10 AS u, COUNT(*) FILTER (WHERE event_type = 'click') AS click, COUNT(*) FILTER (WHERE event_type = 'error') AS error
-FROM events GROUP BY 1""",
-    "unpivot_rows": "SELECT l_orderkey, l_linenumber, u.name AS name, u.v AS v FROM lineitem, LATERAL (SELECT 'tax' AS name, l_tax AS v UNION ALL SELECT 'discount', l_discount) u",
+    "pivot_counts": "SELECT * FROM (PIVOT (SELECT user_id % 10 AS u, event_type FROM events) ON event_type IN ('click', 'error') USING count(*) GROUP BY u)",
+    "pivot_values": "SELECT * FROM (PIVOT (SELECT user_id % 10 AS u, event_type, value FROM events) ON event_type USING max(value) AS top)",
+    "unpivot_rows": "SELECT * FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_tax AS tax, l_discount AS discount FROM lineitem) ON tax, discount INTO NAME name VALUE v)",
+    "union_by_name": """SELECT user_id, value FROM events WHERE event_type = 'error'
+UNION ALL BY NAME SELECT event_id, user_id FROM events WHERE event_type = 'signup'""",
+    "distinct_on": "SELECT DISTINCT ON (user_id) user_id, event_id, value FROM events ORDER BY user_id, value DESC, event_id",
+    "sample_all": "SELECT COUNT(*) AS n, COUNT(DISTINCT event_id) AS d FROM events USING SAMPLE 100%",
+    "sample_rows": "SELECT COUNT(*) AS n FROM (SELECT event_id FROM events USING SAMPLE 200 ROWS) s",
+    "asof_sql": """SELECT l.user_id, l.event_id, r.value AS paid FROM (SELECT * FROM events WHERE event_type = 'error') l
+ASOF LEFT JOIN (SELECT user_id AS buyer, ts AS bought_at, value FROM events WHERE event_type = 'purchase') r ON l.user_id = r.buyer AND l.ts >= r.bought_at""",
+    "unnest_list": "SELECT event_id, unnest([event_type, upper(event_type)]) AS v FROM events",
+    "series_join": "SELECT g.v AS bucket, COUNT(e.event_id) AS n FROM generate_series(0, 9) g(v) LEFT JOIN events e ON e.user_id % 10 = g.v GROUP BY 1",
+    "select_replace": "SELECT * REPLACE (upper(event_type) AS event_type, value * 2 AS value) FROM events",
     "scalar_subquery": "SELECT COUNT(*) AS n FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)",
     "exists_subquery": "SELECT COUNT(*) AS n FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
     "order_limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5",
@@ -194,7 +206,7 @@ FROM events GROUP BY 1""",
     "filter_predicates": """SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND value BETWEEN 10 AND 40 AND event_type LIKE 'c%' AND NOT (user_id % 2 = 0)
 AND props IS NOT NULL""",
     "fn_strings": """SELECT c_custkey, upper(c_name) AS u, substr(c_name, 1, 4) AS s, replace(c_name, '#', '-') AS r, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS p,
-length(c_name) AS n, LEFT(c_mktsegment, 3) || '/' || RIGHT(c_mktsegment, 2) AS ends, starts_with(c_name, 'Cust') AS cust FROM customer""".replace("starts_with(", "starts_with("),
+length(c_name) AS n, LEFT(c_mktsegment, 3) || '/' || RIGHT(c_mktsegment, 2) AS ends, starts_with(c_name, 'Cust') AS cust FROM customer""",
     "fn_regex": r"""SELECT c_custkey, regexp_extract(c_name, '[0-9]+') AS digits, regexp_replace(c_name, '[0-9]+', 'N', 'g') AS masked,
 regexp_matches(c_name, '7$') AS seven FROM customer""",
     "fn_dates": """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, date_part('hour', ts) AS h, EXTRACT(DOW FROM ts) AS dow, date_trunc('hour', ts) AS hour FROM events""",
@@ -203,4 +215,31 @@ regexp_matches(c_name, '7$') AS seven FROM customer""",
     "fn_hashes": "SELECT event_id, md5(event_type) AS m, sha256(CAST(event_id AS VARCHAR)) AS s FROM events",
     "fn_conditional": "SELECT event_id, COALESCE(NULLIF(event_type, 'click'), 'was click') AS t, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS band FROM events",
     "try_cast_text": "SELECT event_id, TRY_CAST(event_type AS INTEGER) AS n, TRY_CAST(props ->> 'k' AS DOUBLE) AS d FROM events",
+    # Functions whose meaning differs between the dialects
+    "fn_cast_rounding": """SELECT l_orderkey, l_linenumber, CAST(l_extendedprice / 7 AS INTEGER) AS a, CAST(l_quantity / 2 AS BIGINT) AS b, (l_discount * 100)::INTEGER AS c,
+CAST('2.5' AS INTEGER) AS d, TRY_CAST(l_returnflag AS INTEGER) AS e FROM lineitem""",
+    "fn_concat_nulls": "SELECT event_id, concat(event_type, NULLIF(user_id % 3, 0), '-') AS c, event_type || NULLIF(props, '{\"k\": 1}') AS p, concat_ws('/', event_type, NULL, 'x') AS w FROM events",
+    "fn_date_parts": """SELECT event_id, EXTRACT(DOW FROM ts) AS dow, dayofweek(ts) AS d, isodow(ts) AS iso, dayname(ts) AS name, monthname(ts) AS month, EXTRACT(SECOND FROM ts) AS s,
+EXTRACT(WEEK FROM ts) AS w, date_part('doy', ts) AS doy, EXTRACT(QUARTER FROM ts) AS q, epoch_ms(ts) AS ms, CAST(last_day(CAST(ts AS DATE)) AS VARCHAR) AS l FROM events""",
+    "fn_date_diff": """SELECT event_id, date_diff('day', TIMESTAMP '2024-01-15 12:00:00', ts) AS d, date_diff('hour', TIMESTAMP '2024-01-15 12:00:00', ts) AS h,
+date_diff('minute', TIMESTAMP '2024-01-15 12:00:30', ts) AS m, date_diff('month', TIMESTAMP '2023-11-30 00:00:00', ts) AS mo, date_sub('day', TIMESTAMP '2023-12-15 12:00:00', ts) AS whole FROM events""",
+    "fn_text_positions": """SELECT c_custkey, substr(c_name, 0, 4) AS zero, substr(c_name, -3, 2) AS back, strpos(c_name, '#') AS at, split_part(c_name, '#', 2) AS part,
+string_split(c_name, '#')[1] AS head, ltrim(c_name, 'Cu') AS l, rtrim(c_name, '0123456789') AS r, left(c_name, -2) AS short, suffix(c_name, '7') AS seven, unicode(c_mktsegment) AS u,
+format('{}-{}', c_custkey, c_mktsegment) AS f FROM customer""",
+    "fn_powers": """SELECT event_id, ROUND(log(value + 1), 6) AS lg, ROUND(log(2, value + 1), 6) AS l2, ROUND(value ^ 2, 4) AS sq, ROUND(value ** 0.5, 6) AS root, trunc(value - 50) AS t, xor(user_id, 5) AS x,
+CASE WHEN (value + 1) / (user_id % 3) > 1e300 THEN 'infinite' ELSE 'finite' END AS by_zero FROM events""",
+    "fn_lists": """SELECT event_id, [user_id, event_id, 7][2] AS second, list_sum(list_transform([user_id, 2], lambda x: x * 2))::BIGINT AS s, len(list_filter([1, 2, user_id], lambda x: x > 1)) AS n,
+array_to_string([event_type, 'x', props][1:2], '+') AS joined, list_contains([1, 2, 3], user_id) AS has, list_extract([event_type], 1) AS first, list_position([4, 5], 5) AS at FROM events""",
+    "fn_structs": "SELECT event_id, {'t': event_type, 'n': {'v': value}}.n.v AS v, struct_pack(a := user_id).a AS a, struct_extract({'k': event_type}, 'k') AS k FROM events",
+    "fn_maps": """SELECT event_id, map {'t': event_type, 'p': props}['t'] AS t, cardinality(map {'a': user_id}) AS n, array_to_string(map_keys(map {'x': 1, 'y': 2}), ',') AS keys,
+map {'a': user_id}['b'] AS missing FROM events""",
+    "fn_json_paths": """SELECT event_id, props -> 'k' ->> '$' AS k, json_extract('{"a": ["x", ' || user_id::VARCHAR || ']}', '$.a[0]') AS quoted, '{"a": {"b": "t"}}' -> 'a' ->> 'b' AS deep,
+json_array_length('[1, 2]') AS n, json_valid(event_type) AS bad FROM events""",
+    "fn_patterns": """SELECT c_custkey, c_name SIMILAR TO 'Customer.*1' AS s, c_mktsegment GLOB 'A*' AS g, regexp_full_match(c_mktsegment, '[A-Z]+') AS f,
+regexp_replace(c_name, '0(0+)', '<\\1>') AS once, c_name ILIKE 'customer%' AS i FROM customer""",
+    "agg_shape": """SELECT event_type, ROUND(skewness(value), 3) AS sk, ROUND(kurtosis(value), 3) AS ku, ROUND(kurtosis_pop(value), 3) AS kp, quantile_disc(value, 0.3) AS q,
+ROUND(sem(value), 6) AS se, ROUND(geomean(value + 1), 6) AS g, ROUND(kurtosis(value) FILTER (WHERE user_id % 2 = 0), 3) AS even FROM events GROUP BY event_type""",
+    "agg_histogram": """SELECT user_id % 4 AS u, histogram(event_type)['click'] AS clicks, histogram(event_id % 3)[2] AS twos, ROUND(entropy(event_type), 6) AS e,
+ROUND(product(1 + value / 1000000), 6) AS p FROM events GROUP BY 1""",
+    "agg_first_last": "SELECT user_id, first(event_type ORDER BY event_id) AS f, last(event_type ORDER BY event_id) AS l, arg_max(NULLIF(event_type, 'click'), event_id) AS known FROM events GROUP BY user_id",
 }

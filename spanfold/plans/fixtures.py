@@ -30,6 +30,7 @@ def _sql(spark: bool) -> dict[str, str]:
   CASE WHEN event_id % 10 <> 9 THEN value END AS duration_ms, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status_code,
   CASE WHEN event_type IN ('click', 'view') THEN 'GET' ELSE 'POST' END AS http_request_method,
   CASE WHEN event_type <> 'view' THEN '/api/' || event_type END AS http_request_path, props AS http_request_body,
+  CASE WHEN event_id % 6 = 0 THEN 'accept: ' || event_type END AS http_request_headers, CASE WHEN event_id % 4 = 1 THEN 'age: ' || CAST(event_id AS TEXT) END AS http_response_headers,
   CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 201 ELSE 200 END AS http_response_status_code,
   CASE WHEN event_id % 3 = 0 THEN props END AS http_response_body, CAST(ts AS DATE) AS record_date FROM events"""
     logs = """SELECT CASE WHEN event_id % 7 <> 0 THEN 's-' || CAST(user_id AS TEXT) END AS session_id, ts AS timestamp,
@@ -43,7 +44,7 @@ def _sql(spark: bool) -> dict[str, str]:
     return {k: v.replace("AS TEXT", f"AS {text}") for k, v in (("spans", spans), ("logs", logs), ("metrics", metrics))}
 
 
-DUCK = _sql(False)
+DUCK, SPARK = _sql(False), _sql(True)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> None:
@@ -54,13 +55,13 @@ def tables(spark: SparkSession, sf_dir: str) -> None:
     prepared(spark)  # buckets and days are those of UTC
     for name in PLAIN:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    for kind, text in _sql(True).items():
+    for kind, text in SPARK.items():
         register(spark, kind, spark.sql(text))
 
 
 def frame(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
-    return spark.sql(_sql(True)[kind])
+    return spark.sql(SPARK[kind])
 
 
 def with_tables(text: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import sql
 from ..operators import capture, catalog, inject, joins
-from . import corpus, fixtures
+from . import corpus, fixtures, tables
 
 _NOW = "(SELECT max(ts) FROM events)"
 
@@ -41,6 +41,10 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.merge(seen.limit(0), seen)
 
 
+#: Columns of the spans whose values are choices, but for bodies.
+_CHOICES = "app_id message_type span_kind status_code http_request_method http_request_path http_request_headers http_response_status_code http_response_headers".split()
+
+
 def catalog_entity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.entity_types(_catalog(spark, sf_dir), "ten-1")
 
@@ -136,7 +140,7 @@ coalesce(http_response_body, '') AS body FROM union_spans WHERE attributes['sp.c
     ),
     "catalog_entity_types": (
         catalog_entity_types,
-        "SELECT unnest(['app_id', 'message_type', 'span_kind', 'status_code', 'http_request_method', 'http_request_path', 'http_response_status_code']) AS entity_type",
+        "SELECT DISTINCT k AS entity_type FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS k, CAST({c} AS VARCHAR) AS v, tenant_id FROM union_spans" for c in _CHOICES) + ") x WHERE tenant_id = 'ten-1' AND v <> ''",
     ),
     "catalog_values": (catalog_values, "SELECT DISTINCT message_type AS entity_value FROM union_spans WHERE tenant_id = 'ten-1'"),
     "inject_select": (inject_select, INJECT_SQL),
@@ -150,14 +154,18 @@ coalesce(http_response_body, '') AS body FROM union_spans WHERE attributes['sp.c
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     texts = corpus.TELEMETRY | corpus.FAMILIES
-    return {name: partial(run_text, text=text) for name, text in texts.items()} | {name: f for name, (f, _) in OPERATORS.items()}
+    return {name: partial(run_text, text=text) for name, text in texts.items()} | {name: f for name, (f, _) in _operators().items()}
+
+
+def _operators() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    return OPERATORS | tables.OPERATORS
 
 
 def oracle_sql() -> dict[str, str]:
-    texts = corpus.TELEMETRY | corpus.FAMILIES | {name: text for name, (_, text) in OPERATORS.items() if text}
+    texts = corpus.TELEMETRY | corpus.FAMILIES | {name: text for name, (_, text) in _operators().items() if text}
     found = {}
     for name, text in texts.items():
-        text = text.replace("CAST(CURRENT_TIMESTAMP AS TIMESTAMP)", _NOW)
+        text = text.replace("CAST(CURRENT_TIMESTAMP AS TIMESTAMP)", _NOW).replace("CURRENT_DATE", f"CAST({_NOW} AS DATE)")
         uses = any(f"{t}{k}" in text for t in ("union_", "committed_", "buffer_") for k in fixtures.DUCK) or any(f" {k}" in text for k in ("traces", "logs"))
         found[name] = fixtures.with_tables(text) if uses else text
     return found

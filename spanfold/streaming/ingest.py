@@ -37,7 +37,10 @@ class HotBuffer:
 
     def append(self, rows: DataFrame, request_bytes: int = 0) -> bool:
         """Adds rows; true if that filled the buffer and it was flushed."""
-        new = otlp.conform(rows, self.table.layout.schema, self.table.promotions).collect()
+        return self.add(otlp.conform(rows, self.table.layout.schema, self.table.promotions).collect(), request_bytes)
+
+    def add(self, new: list, request_bytes: int = 0) -> bool:
+        """Adds rows of the table's columns that the caller holds already."""
         with self._lock:
             self._rows += new
             self._bytes += request_bytes if new else 0
@@ -90,23 +93,61 @@ class HotBuffer:
         return thread
 
 
-def ingest(buffer: HotBuffer, payload: str | bytes) -> dict:
+#: The most that a request's body may hold once it is unpacked.
+MOST_BYTES = 100 << 20
+
+
+def unpacked(payload: bytes, encoding: str | None, most: int = MOST_BYTES) -> bytes:
+    """A request's body by its Content-Encoding (gzip, deflate, br, zstd or several, last first); a ValueError tells of
+    a bad or too large one. No more than ``most`` bytes are ever unpacked."""
+    for name in reversed([e.strip().lower() for e in (encoding or "").split(",") if e.strip()]):
+        try:
+            if name in ("gzip", "x-gzip", "deflate"):
+                import zlib
+
+                reader = zlib.decompressobj(31 if name != "deflate" else 15 if payload[:1] and payload[0] & 15 == 8 else -15)
+                payload = reader.decompress(payload, most + 1)
+            elif name == "zstd":
+                import zstandard
+
+                with zstandard.ZstdDecompressor().stream_reader(payload) as stream:
+                    payload = stream.read(most + 1)
+            elif name == "br":
+                import brotli
+
+                payload = brotli.decompress(payload)
+            elif name != "identity":
+                raise ValueError(f"no encoding named {name}")
+        except ImportError as e:
+            raise ValueError(f"{name} needs a package that is not installed") from e
+        except ValueError:
+            raise
+        except Exception as e:
+            raise ValueError(f"the body is no {name}") from e
+    if len(payload) > most:
+        raise ValueError("the body is too large")
+    return payload
+
+
+def ingest(buffer: HotBuffer, payload: str | bytes, encoding: str | None = None) -> dict:
     """Takes a request, text in JSON or bytes in Protobuf or JSON, into the buffer; a ValueError tells of a bad one.
 
-    Answers {success, ingested_count, message}, as the service does.
+    Answers {success, ingested_count, message}, as the service does. One job flattens the request.
     """
-    spark = buffer.table.spark
-    text = protobuf.to_json(payload, buffer.table.kind) if isinstance(payload, bytes) else payload
-    requests = otlp.parse(spark.createDataFrame([(text,)], "value string"), buffer.table.kind)
-    rows = otlp.FLATTEN[buffer.table.kind](requests, buffer.table.promotions)
+    spark, table = buffer.table.spark, buffer.table
+    if isinstance(payload, bytes):
+        payload = unpacked(payload, encoding)
+    text = protobuf.to_json(payload, table.kind) if isinstance(payload, bytes) else payload
+    requests = otlp.parse(spark.createDataFrame([(text,)], "value string"), table.kind)
+    rows = otlp.conform(otlp.FLATTEN[table.kind](requests, table.promotions), table.layout.schema, table.promotions)
     try:
         found = rows.collect()
     except Exception as e:
         if "MALFORMED_RECORD" in str(e) or "FAILFAST" in str(e):
             raise ValueError("the request is no valid JSON of this kind") from e
         raise
-    buffer.append(spark.createDataFrame(found, rows.schema), len(payload))
-    return {"success": True, "ingested_count": len(found), "message": f"{len(found)} {buffer.table.kind} ingested"}
+    buffer.add(found, len(payload))
+    return {"success": True, "ingested_count": len(found), "message": f"{len(found)} {table.kind} ingested"}
 
 
 def stream_to_lake(

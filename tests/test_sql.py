@@ -155,3 +155,22 @@ def test_asof_edge_cases(spark):
     got = {r.id: r.v for r in joins.asof_join(left, right, ["k"], "t", "u").collect()}
     assert got == {1: "z", 2: None, 3: None, 4: None}
     assert [r.id for r in joins.asof_join(left, right, ["k"], "t", "u", how="inner").collect()] == [1]
+
+
+def test_asof_slices_carry_on(spark):
+    import random
+
+    rng = random.Random(3)
+    left = spark.createDataFrame([(rng.choice("ab"), rng.randint(0, 300), i) for i in range(200)] + [(None, 5, 900), ("a", None, 901)], "k string, t int, id int")
+    right = spark.createDataFrame([(rng.choice("abc"), rng.randint(0, 300), i) for i in range(40)], "k string, u int, v int")
+    plain = joins.asof_join(left, right, ["k"], "t", "u")
+    for width in (7.0, 1000.0):
+        for how in ("left", "inner"):
+            want = plain if how == "left" else plain.where("u is not null")
+            assert sorted(map(repr, joins.asof_join(left, right, ["k"], "t", "u", how, slice_width=width).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_tokens_of_headers():
+    from spanfold.operators.sessions import bearer
+
+    assert [bearer(h) for h in ("Bearer  x ", "bearer x", "Bearer ", None)] == ["x", None, None, None]

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CACHED_WORDS = 1 << 18
+from ..scratch import Scratch
+
+#: Words that a worker remembers, and the bytes of the longest of them.
+_CACHED_WORDS, _CACHED_BYTES = 1 << 18, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +26,14 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class WordIds(dict):
-    """A 64-bit id of each word. It holds a bounded number of them and computes the others again."""
+    """A 64-bit id of each word. It holds a bounded number of short ones and computes the others again."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _CACHED_BYTES:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def array(self, words: list[bytes]) -> np.ndarray:
@@ -60,54 +61,6 @@ def shingles(word_ids: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(total)
 
 
-class Scratch:
-    """Tables of one query in the folder that the cluster shares, gone when the session's process ends.
-
-    A table written here has no lineage: a lost executor costs no earlier stage. Where ``spark.checkpoint.dir`` is
-    unset, as in tests, a temporary folder stands in.
-    """
-
-    _own: str | None = None
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if Scratch._own is None:
-                Scratch._own = tempfile.mkdtemp(prefix="spanfold-")
-            base = f"file://{Scratch._own}"
-        self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-        self._n = 0
-        atexit.register(self.clear)
-
-    def path(self, name: str = "t") -> str:
-        self._n += 1
-        return f"{self.base}/{self._n:03d}_{name}"
-
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        path = self.path(name)
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files behind a table that nothing reads any more."""
-        for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if self.base.split(":", 1)[-1].lstrip("/") in at:
-                self._delete(at)
-
-    def clear(self) -> None:
-        try:
-            self._delete(self.base)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            pass
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``links`` (a, b long): the smallest node that links reach.
 

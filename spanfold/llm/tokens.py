@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS = 65_536, 32_768, 512
-_CACHED_RUNS = 1 << 18
+#: Runs that each of two generations remembers, and the bytes of the longest of them.
+_CACHED_RUNS, _CACHED_BYTES = 1 << 18, 64
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 Encode = Callable[[str], list[tuple[int, int, int]]]
@@ -81,30 +82,64 @@ def _tokenizer(path: str):
     return found
 
 
-def counter(path: str) -> Callable[[list[str | None]], list[int]]:
-    """A function that counts the tokens of texts; null has none."""
-    tokenizer = _tokenizer(path)
-    known: dict[bytes, int] = {}
+class Counter:
+    """Counts the tokens of texts. It remembers those of short runs, in two generations: what was met since the older
+    one was young stays, so that rare runs do not push frequent ones out and memory is bounded."""
 
-    def offsets(text: str) -> list[tuple[int, int, int]]:
-        e = tokenizer.encode(text, add_special_tokens=False)
+    def __init__(self, path: str):
+        self._tokenizer = _tokenizer(path)
+        self._young: dict[bytes, int] = {}
+        self._old: dict[bytes, int] = {}
+
+    def offsets(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, start, end) of the tokens of a text."""
+        e = self._tokenizer.encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
-    def count(texts: list[str | None]) -> list[int]:
-        runs = [t.encode("utf-8", "surrogatepass").split() if t and len(t) <= HUGE_CHARS else () for t in texts]
-        if len(known) > _CACHED_RUNS:
-            known.clear()
-        new = [r for r in set().union(*runs) if r not in known]
+    def _learn(self, runs: set[bytes]) -> list[bytes]:
+        """Makes all these runs known; returns those that are too long to be remembered."""
+        young, old = self._young, self._old
+        new = []
+        for r in runs:
+            if r not in young:
+                if (n := old.get(r)) is None:
+                    new.append(r)
+                else:
+                    young[r] = n
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            encoded = tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)
-            known.update(zip(part, map(len, encoded), strict=True))
-        return [
-            len(splice(t, offsets)) if t and len(t) > HUGE_CHARS else sum(map(known.__getitem__, r))
-            for t, r in zip(texts, runs, strict=True)
-        ]
-
-    return count
+            encoded = self._tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)
+            young.update(zip(part, map(len, encoded), strict=True))
+        return [r for r in new if len(r) > _CACHED_BYTES]
+
+    def _forget(self, long: list[bytes]) -> None:
+        for r in long:
+            del self._young[r]
+        if len(self._young) > _CACHED_RUNS:
+            self._old, self._young = self._young, {}
+
+    def __call__(self, texts: list[str | None]) -> list[int]:
+        """The number of tokens of each text; null has none."""
+        runs = [t.encode("utf-8", "surrogatepass").split() if t and len(t) <= HUGE_CHARS else () for t in texts]
+        long = self._learn(set().union(*runs))
+        known = self._young
+        n = [len(splice(t, self.offsets)) if t and len(t) > HUGE_CHARS else sum(map(known.__getitem__, r)) for t, r in zip(texts, runs, strict=True)]
+        self._forget(long)
+        return n
+
+    def by_run(self, text: str) -> list[int]:
+        """The number of tokens of each run between white space, whose sum is that of the text."""
+        runs = text.encode("utf-8", "surrogatepass").split()
+        long = self._learn(set(runs))
+        n = list(map(self._young.__getitem__, runs))
+        self._forget(long)
+        return n
+
+
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """The counter of a tokenizer file; a worker keeps it, and what it remembers, from task to task."""
+    return Counter(path)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:

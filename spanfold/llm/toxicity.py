@@ -57,7 +57,8 @@ _INNER = re.compile(r"[\W_]+")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _UPPER = bytes(range(65, 91))
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CACHED_WORDS = 1 << 17
+#: Words that a worker remembers, and the bytes of the longest of them.
+_CACHED_WORDS, _CACHED_BYTES = 1 << 17, 64
 
 
 def keys(word: str) -> tuple[str, ...]:
@@ -78,8 +79,6 @@ class Reader(dict):
         return max((self.lexicon.get(k, 0.0) for k in keys(word)), default=0.0)
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
         word = _EDGES.sub("", raw.decode("utf-8", "replace"))
         lower = word.lower()
         weight = self.weight(lower)
@@ -102,7 +101,11 @@ class Reader(dict):
             if plain != lower and ((hidden := self.weight(plain)) >= STRONG or plain in INSULTS):
                 weight, bits = max(weight, hidden), bits | self.HIDDEN | (self.INSULT if plain in INSULTS else 0)
         bits |= self.STRONG if weight >= STRONG else self.MILD if weight >= MILD else 0
-        found = self[raw] = bits | int(min(weight, 15.0) * 1000) << 9
+        found = bits | int(min(weight, 15.0) * 1000) << 9
+        if len(raw) <= _CACHED_BYTES:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[raw] = found
         return found
 
     def features(self, text: str | None) -> list[float]:
@@ -311,17 +314,19 @@ def _learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """doc_id, text, label (0 or 1) and fold of training rows: those whose crc32(doc_id) mod 4 is not 2.
 
-    Rows are drawn by a hash of the id, ``bound`` in expectation. Equal texts count once, labels that contradict each
-    other for one id go by the highest, and rows without an id, label or text are left out.
+    Rows are drawn by a hash of the id, ``bound`` in expectation. Equal texts count once, under the smallest of their
+    ids and the highest of their labels, as do labels that contradict each other for one id; so the same rows give the
+    same sample however they are partitioned. Rows without an id, label or text are left out.
     """
     may = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     usable = usable.where("doc_id is not null and label in (0, 1)").where(may).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, bound / max(1, usable.count()))
     drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = drawn.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    return texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["text"])  # at most ``bound`` ids are broadcast
+    rows = texts.join(F.broadcast(drawn), "doc_id")  # at most ``bound`` ids, or about, are broadcast
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+    return rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:

@@ -7,7 +7,7 @@ share for words that training never saw. So the model gives every sequence of wo
     log P(text) = log P(its symbols), by the scaled forward recursion, + sum over words of log P(word | its symbol).
 
 The E step runs where the texts are: each task sums the expected counts of its texts by forward and backward recursions
-that take many texts at a time, and the counts of all tasks are summed by symbol. Texts are encoded once, and the rounds
+that take many texts at a time, long ones in pieces side by side, and the counts of all tasks are summed by symbol. Texts are encoded once, and the rounds
 read their symbols. The model has a fixed size; the word counts have not, so they stay a table, and the texts' rare words
 are joined with it.
 """
@@ -34,9 +34,10 @@ _BITS = 9
 CLASSES = 1 << _BITS
 END = SYMBOLS + CLASSES  # its number among the symbols
 WIDTH = END + 1
-#: Tokens that one pair of recursions holds.
-_CHUNK = 300_000
-_CACHED_WORDS = 1 << 18
+#: Tokens that one pair of recursions holds, and the longest piece of a text that goes through one of its lanes.
+_CHUNK, _PIECE = 300_000, 4_096
+#: Words that a worker remembers, and the bytes of the longest of them.
+_CACHED_WORDS, _CACHED_BYTES = 1 << 18, 64
 _ALPHA = 0.1  # added to every count of the base and inside a class
 
 
@@ -44,11 +45,13 @@ class Ids(dict):
     """Of each word 55 bits of hash, then 9 bits of class: a hash of its last two letters and whether a mark follows."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
         core = word.rstrip(b".,;:!?\"')]}")
         kind = (zlib.crc32(core.decode("utf-8", "replace")[-2:].encode("utf-8")) & 255) << 1 | (len(core) < len(word))
-        found = self[word] = (xxhash.xxh3_64_intdigest(word) >> _BITS << _BITS) | kind
+        found = (xxhash.xxh3_64_intdigest(word) >> _BITS << _BITS) | kind
+        if len(word) <= _CACHED_BYTES:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
     def array(self, words: list[bytes]) -> np.ndarray:
@@ -82,28 +85,85 @@ def _arranged(sequences: list[np.ndarray], alive: np.ndarray, begin: np.ndarray)
     return out
 
 
-def forward(p: Parameters, sequences: list[np.ndarray], keep: bool = False):
-    """Natural-log likelihoods of symbol sequences in descending length; with ``keep`` also what backward needs."""
+def forward(p: Parameters, sequences: list[np.ndarray], keep: bool = False, first: np.ndarray | None = None):
+    """Natural-log likelihoods of symbol sequences in descending length, and the states' shares at their ends.
+
+    ``first`` has the states' shares before each sequence's first symbol, those of a text's start by default. Only the
+    likelihoods come back without it; with ``keep`` also what backward needs.
+    """
     lengths = np.array([len(s) for s in sequences])
     alive, begin = _time_major(lengths)
     symbols = _arranged(sequences, alive, begin)
     e = p.emit[symbols]
     alpha = np.empty_like(e) if keep else None
     scale = np.empty(len(symbols))
-    a = np.broadcast_to(p.start, (len(sequences), len(p.start)))
+    a = np.broadcast_to(p.start, (len(sequences), len(p.start))) if first is None else first
+    last = np.empty((len(sequences), len(p.start)))
     for t, m in enumerate(alive):
         lo, hi = begin[t], begin[t + 1]
         a = (a if t == 0 else a[:m] @ p.move) * e[lo:hi]
         c = a.sum(1)
         a = a / c[:, None]
         scale[lo:hi] = c
+        last[:m] = a
         if keep:
             alpha[lo:hi] = a
     logs = np.log(scale)
     total = np.zeros(len(sequences))
     for t, m in enumerate(alive):
         total[:m] += logs[begin[t] : begin[t + 1]]
-    return (total, symbols, e, alpha, scale, alive, begin) if keep else total
+    if keep:
+        return total, symbols, e, alpha, scale, alive, begin, last
+    return total if first is None else (total, last)
+
+
+@dataclass
+class Pieces:
+    """Texts in pieces that go through the recursions side by side, and what each piece has to know of the others.
+
+    Of a long text's pieces, one pass gives the matrix from the states before a piece to those at its end; a product
+    of these along the text gives each piece the states before its first symbol (``first``), and one against it what
+    follows its last (``after``). So a text of any length takes as many steps as a piece, and the result is exact.
+    """
+
+    parts: list[np.ndarray]
+    text: np.ndarray
+    first: np.ndarray
+    after: np.ndarray
+
+
+def pieces(p: Parameters, sequences: list[np.ndarray], backward: bool = True) -> Pieces:
+    parts, text, states = [], [], len(p.start)
+    for k, s in enumerate(sequences):
+        for at in range(0, len(s), _PIECE):
+            parts.append(s[at : at + _PIECE])
+            text.append(k)
+    first, after = np.tile(p.start, (len(parts), 1)), np.ones((len(parts), states))
+    owner = np.array(text, np.int64)
+    long = np.flatnonzero(np.bincount(owner, minlength=1)[owner] > 1) if len(owner) else owner
+    if not len(long):
+        return Pieces(parts, owner, first, after)
+    # By piece of a long text: row i is the states' shares at its end, by likelihood, if it begins after state i.
+    through = np.empty((len(parts), states, states))
+    unit = np.eye(states)
+    order = sorted(long.tolist(), key=lambda i: -len(parts[i]))
+    step = max(1, _CHUNK // (_PIECE * states))
+    for lo in range(0, len(order), step):
+        some = order[lo : lo + step]
+        log, end = forward(p, [parts[i] for i in some for _ in range(states)], first=np.tile(unit, (len(some), 1)))
+        log, end = log.reshape(len(some), states), end.reshape(len(some), states, states)
+        through[some] = np.exp(log - log.max(1, keepdims=True))[:, :, None] * end
+    for at, i in enumerate(long):
+        if at and owner[long[at - 1]] == owner[i]:
+            end = first[i - 1] @ through[i - 1]
+            first[i] = end / end.sum() @ p.move
+    for at in range(len(long) - 2, -1, -1) if backward else ():
+        i = long[at]
+        if owner[long[at + 1]] == owner[i]:
+            # At the end of this piece, by state: the likelihood of the rest, to a factor.
+            rest = p.move @ (through[i + 1] @ after[i + 1])
+            after[i] = rest / rest.max()
+    return Pieces(parts, owner, first, after)
 
 
 @dataclass
@@ -118,26 +178,61 @@ class Counts:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((WIDTH, states)))
 
 
-def expect(p: Parameters, sequences: list[np.ndarray], into: Counts) -> None:
-    """Adds the expected counts of symbol sequences in descending length."""
-    total, symbols, e, alpha, scale, alive, begin = forward(p, sequences, keep=True)
+def expect(p: Parameters, sequences: list[np.ndarray], into: Counts, known: Pieces | None = None, picked: list[int] | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Adds the expected counts of symbol sequences in descending length, which are whole texts or pieces of ``known``.
+
+    Of pieces it returns the states' shares at their ends and the weights of their first symbols, of which
+    :func:`joints` makes the counts of moves between pieces.
+    """
+    first = None if known is None else known.first[picked]
+    total, symbols, e, alpha, scale, alive, begin, last = forward(p, sequences, keep=True, first=first)
+    after = np.ones_like(last) if known is None else known.after[picked]
+    after = after / (last * after).sum(1, keepdims=True)
     beta = np.ones((0, len(p.start)))
     gamma = alpha  # overwritten step by step, from the last
     for t in range(len(alive) - 1, -1, -1):
         lo, hi = begin[t], begin[t + 1]
         m, going = alive[t], len(beta)
-        here = np.ones((m, len(p.start)))
-        if going:  # the others end at this step
+        here = after[:m].copy()  # the others end at this step
+        if going:
             nxt = slice(begin[t + 1], begin[t + 2])
             w = e[nxt] * beta / scale[nxt, None]
             into.move += (alpha[lo : lo + going].T @ w) * p.move
             here[:going] = w @ p.move.T
         beta = here
         gamma[lo:hi] = alpha[lo:hi] * here
-    into.start += gamma[: alive[0]].sum(0)
+    opening = np.ones(alive[0], bool) if known is None else np.array([i == 0 or known.text[i - 1] != known.text[i] for i in picked])
+    into.start += gamma[: alive[0]][opening].sum(0)
     for k in range(len(p.start)):
         into.emit[:, k] += np.bincount(symbols, gamma[:, k], WIDTH)
     into.log_likelihood += float(total.sum())
+    return None if known is None else (last, e[: alive[0]] * beta / scale[: alive[0], None])
+
+
+def joints(p: Parameters, known: Pieces, last: np.ndarray, weight: np.ndarray, into: Counts) -> None:
+    """Adds the expected moves from the last symbol of a piece to the first of the next one of the same text."""
+    at = np.flatnonzero(known.text[1:] == known.text[:-1])
+    if len(at):
+        into.move += (last[at].T @ weight[at + 1]) * p.move
+
+
+def expect_all(p: Parameters, sequences: list[np.ndarray], into: Counts) -> None:
+    """Adds the expected counts of whole texts of any length, in any order."""
+    known = pieces(p, sequences)
+    last, weight = np.empty_like(known.first), np.empty_like(known.first)
+    for part in _chunks(known.parts):
+        last[part], weight[part] = expect(p, [known.parts[i] for i in part], into, known, part)
+    joints(p, known, last, weight, into)
+
+
+def likelihoods(p: Parameters, sequences: list[np.ndarray]) -> np.ndarray:
+    """Natural-log likelihoods of whole texts of any length, in any order."""
+    known = pieces(p, sequences, backward=False)
+    total = np.zeros(len(sequences))
+    for part in _chunks(known.parts):
+        log, _ = forward(p, [known.parts[i] for i in part], first=known.first[part])
+        np.add.at(total, known.text[part], log)
+    return total
 
 
 def maximised(c: Counts, prior: np.ndarray) -> Parameters:
@@ -355,9 +450,8 @@ def _expected(encoded: DataFrame, p: Parameters) -> Counts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = Parameters(*held.value), Counts.zero(states)
         for b in batches:
-            found = _sequences(b)
-            for part in _chunks(found):
-                expect(own, [found[i] for i in part], counts)
+            if b.num_rows:
+                expect_all(own, _sequences(b), counts)
         # After the symbols: a row for each state's moves, one for starts and one for the likelihood.
         rows = np.concatenate([counts.emit, counts.move, counts.start[None], np.eye(1, states) * counts.log_likelihood])
         some = np.flatnonzero(np.any(rows != 0, 1))
@@ -381,9 +475,7 @@ def score(encoded: DataFrame, p: Parameters, v: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Parameters(*held.value)
         for b in batches:
-            found, hidden = _sequences(b), np.zeros(b.num_rows)
-            for part in _chunks(found):
-                hidden[part] = forward(own, [found[i] for i in part]) / math.log(10)
+            hidden = likelihoods(own, _sequences(b)) / math.log(10) if b.num_rows else np.zeros(0)
             yield b.select(columns).append_column("hidden", pa.array(hidden))
 
     rows = encoded.select(*columns, "symbols").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, word double, hidden double")

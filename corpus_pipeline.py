@@ -40,8 +40,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of the permitted lengths, with the ids, pieces and texts that they hold."""
-    packed = packing.pack(docs, with_text=True)
+    """Sequences of the permitted lengths in tokens, with the ids, pieces and texts that they hold."""
+    import public_tokenizers
+
+    packed = packing.pack(docs, with_text=True, tokenizer=public_tokenizers.path("word_bpe_49k.json"))
     return packed.withColumn("doc_ids", F.col("pieces.doc_id"))
 
 

@@ -74,14 +74,18 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     leaves = up.where("up is null").join(parents, "id", "left_anti").withColumn("score", F.col("total") / F.col("n"))
     best = Window.partitionBy("root").orderBy(F.desc("score"), F.desc("n"), "id")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    path = chosen.select(F.col("id").alias("leaf"), "score", F.col("n").alias("length"), "id", F.lit(0).cast("long").alias("below"))
+    path = scratch.write(chosen.select(F.col("id").alias("leaf"), "score", F.col("n").alias("length"), "id", F.lit(0).cast("long").alias("below")), "path")
     for k in range(len(jumps) - 1, -1, -1):
-        path = path.unionByName(
-            path.join(jumps[k].where("up is not null").select("id", "up", F.col("n").alias("step")), "id").select(
-                "leaf", "score", "length", F.col("up").alias("id"), (F.col("below") + F.col("step")).alias("below")
+        if not jumps[k].where("up is not null").isEmpty():
+            longer = path.unionByName(
+                path.join(jumps[k].where("up is not null").select("id", "up", F.col("n").alias("step")), "id").select(
+                    "leaf", "score", "length", F.col("up").alias("id"), (F.col("below") + F.col("step")).alias("below")
+                )
             )
-        )
-        path = scratch.write(path, "path")
+            longer = scratch.write(longer, "path")
+            scratch.drop(path)
+            path = longer
+        scratch.drop(jumps[k])
     return path.join(rows.drop("score", "parent"), "id").select(
         "tree", "leaf", "score", (F.col("length") - F.col("below") - 1).alias("depth"), "role", "text"
     )
@@ -90,29 +94,26 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
 def format_branches(paths: DataFrame) -> DataFrame:
     """One row a branch: tree, leaf, score, formatted and loss_spans, the code points [start, end) of assistants' texts.
 
-    A null role or text counts as empty. One conversation becomes one value, so its turns meet in one task.
+    A null role or text counts as empty. One conversation becomes one value, so its turns meet in one task; where a turn
+    begins is a running sum, so the cost is linear in the turns.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(HEAD), _escape(role, True), F.lit(AFTER_ROLE))
     turns = paths.select(
         "tree", "leaf", "score", "depth", head.alias("head"), _escape(text).alias("body"), (role == "assistant").alias("learn")
     )
-    turns = turns.groupBy("tree", "leaf", "score").agg(F.sort_array(F.collect_list(F.struct("depth", "head", "body", "learn"))).alias("turns"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(done: Column, turn: Column) -> Column:
-        begin = done["at"] + F.length(turn["head"])
-        end = begin + F.length(turn["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        spans = F.when(turn["learn"], F.concat(done["spans"], span)).otherwise(done["spans"])
-        return F.struct((end + len(END)).alias("at"), spans.alias("spans"))
-
+    width = F.length("head") + F.length("body") + len(END)
+    so_far = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = turns.withColumn("end", (F.sum(width).over(so_far) - len(END)).cast("int"))
+    turn = F.struct("depth", "head", "body", "learn", "end")
+    turns = turns.groupBy("tree", "leaf").agg(F.max("score").alias("score"), F.sort_array(F.collect_list(turn)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct((t["end"] - F.length(t["body"])).alias("start"), t["end"].alias("end")))
     return turns.select(
         "tree",
         "leaf",
         "score",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("turns", start, step, lambda x: x["spans"]).alias("loss_spans"),
+        spans.alias("loss_spans"),
     )
 
 
@@ -147,6 +148,8 @@ def reply_tree(conversations: DataFrame) -> DataFrame:
 
 
 def op5_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and the hard one, formatted and read back. An empty table leaves the hard one, long texts are
+    taken whole, rows without a conv_id are one conversation with a null id, and other columns are ignored."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))

@@ -21,20 +21,24 @@ bitmaps differ in no more bits than the sets differ in tokens, so a pair whose b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, WordIds, as_int64, connected_components, mix64, shingles, split_words, table
 
 #: A partner has at least 75 of 100 tokens of the union.
 PERCENT = 75
-#: Documents whose tokens are held at once, and bits of the hash by which tokens are ranked. Any order gives the same
-#: result; this one keeps common passages out of prefixes. The ranks take 2^22 bytes whatever the number of tokens.
-SLICE, RANK_BITS = 1024, 22
+#: Documents whose tokens are held at once, and bits of each of two hashes by which tokens are ranked. Any order gives the
+#: same result; this one keeps common passages out of prefixes. The ranks take 2^22 bytes whatever the number of tokens.
+SLICE, RANK_BITS = 1024, 21
+#: From this power of two on, by the ranks, a token's documents are dealt to several tasks; copies always are.
+HOT_RANK, COPY_SALTS = 15, 64
 _PER_HUB = 1024
 #: Sets of a group that a task holds at once, and their tokens, on average.
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20
@@ -98,27 +102,35 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bits binary, token long, times long")
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - RANK_BITS)).astype(np.int64)
+def _bucket(tokens: np.ndarray, row: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - RANK_BITS * (row + 1))).astype(np.int64) & ((1 << RANK_BITS) - 1)
 
 
 def _ranks(profiles: DataFrame) -> np.ndarray:
     """By hash bucket, the logarithm of how often its most frequent token was counted; 0 if none came again.
 
-    A rare token that shares a bucket with a frequent one is put late as well, by all documents alike.
+    A token's rank is the lesser of those of its two buckets, so that a rare one is seldom taken for a frequent one that
+    it shares a bucket with; if it is, all documents put it late alike.
     """
-    bucket = F.expr(f"shiftrightunsigned(token, {64 - RANK_BITS})").cast("int")
+    buckets = F.array(
+        *[(F.expr(f"shiftrightunsigned(token, {64 - RANK_BITS * (row + 1)}) & {(1 << RANK_BITS) - 1}") + (row << RANK_BITS)).cast("int") for row in (0, 1)]
+    )
     counted = profiles.where("token is not null").groupBy("token").agg(F.sum("times").alias("n"))
-    found = counted.groupBy(bucket.alias("bucket")).agg(F.max(F.log2("n").cast("int")).alias("rank")).toPandas()
-    ranks = np.zeros(1 << RANK_BITS, np.uint8)
+    found = counted.select(F.explode(buckets).alias("bucket"), F.log2("n").cast("int").alias("rank")).groupBy("bucket").agg(F.max("rank").alias("rank")).toPandas()
+    ranks = np.zeros(2 << RANK_BITS, np.uint8)
     ranks[found["bucket"].to_numpy()] = found["rank"].to_numpy()
-    return ranks
+    return ranks.reshape(2, -1)
+
+
+def _rank_of(tokens: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    return np.minimum(ranks[0][_bucket(tokens, 0)], ranks[1][_bucket(tokens, 1)])
 
 
 def _postings(docs: DataFrame, ranks: np.ndarray, width: int) -> DataFrame:
-    """token, doc, n and pos (the token's place in the document's order) of prefixes.
+    """token, doc, n, pos (the token's place in the document's order) and salt of prefixes.
 
-    An input partition sends each set on once, so that the copies of a hot text come as a few documents.
+    An input partition sends each set on once, so that the copies of a hot text come as a few documents. The salt deals
+    the documents of a frequent token to slices; it is -1 for all others.
     """
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -126,24 +138,28 @@ def _postings(docs: DataFrame, ranks: np.ndarray, width: int) -> DataFrame:
         ranks = held.value
         seen: set[tuple[int, int]] = set()
         for ids, sets in _sets(batches, width):
-            tokens, doc, size, place = [], [], [], []
+            tokens, doc, size, place, salt = [], [], [], [], []
             for i, s in zip(ids, sets, strict=True):
                 if i is None or not len(s) or (key := _fingerprint(s)) in seen:
                     continue
                 seen.add(key)
                 n = len(s)
                 keep = n - -(-PERCENT * n // 100) + 1
-                s = s[np.argsort(ranks[_bucket(s)], kind="stable")]
-                tokens.append(s[:keep])
+                rank = _rank_of(s, ranks)
+                order = np.argsort(rank, kind="stable")[:keep]
+                slices = np.int64(1) << np.maximum(rank[order].astype(np.int64) - HOT_RANK, 0)
+                tokens.append(s[order])
+                mixed = int(mix64(np.array([i & (2**64 - 1)], np.uint64))[0] >> np.uint64(1))
+                salt.append(np.where(slices > 1, mixed & (slices - 1), -1).astype(np.int32))
                 doc.append(np.full(keep, i, np.int64))
                 size.append(np.full(keep, n, np.int32))
                 place.append(np.arange(keep, dtype=np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_int64(np.concatenate(tokens))), *[pa.array(np.concatenate(x)) for x in (doc, size, place)]], names=["token", "doc", "n", "pos"]
+                    [pa.array(as_int64(np.concatenate(tokens))), *[pa.array(np.concatenate(x)) for x in (doc, size, place, salt)]], names=["token", "doc", "n", "pos", "salt"]
                 )
 
-    return docs.mapInArrow(run, "token long, doc long, n int, pos int")
+    return docs.mapInArrow(run, "token long, doc long, n int, pos int, salt int")
 
 
 def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -154,13 +170,27 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
 
 
 def _shared(scratch: Scratch, postings: DataFrame) -> DataFrame:
-    """The postings of tokens that several documents have, with the document before and the most central of the band."""
+    """The postings of tokens that several documents have, with the document before and the most central of the band.
+
+    A slice of a frequent token stands for the token, so that no task gets all of its documents.
+    """
     rows = postings.withColumn("band", (F.log("n") / float(np.log(100 / PERCENT))).cast("int"))
-    by_size = Window.partitionBy("token").orderBy("band", "n", "doc")
+    by_size = Window.partitionBy("token", "salt").orderBy("band", "n", "doc")
     rows = rows.withColumn("before", F.lag(F.struct("doc", "n", "pos")).over(by_size)).withColumn("after", F.lead("doc").over(by_size))
-    rows = rows.where("before is not null or after is not null")
-    central = F.min(F.struct("pos", "doc", "n")).over(Window.partitionBy("token", "band"))
-    return scratch.write(rows.withColumn("first", central).drop("after", "band"), "shared")
+    rows = rows.where("before is not null or after is not null or salt >= 0")  # a slice may hold one document of many
+    central = F.min(F.struct("pos", "doc", "n")).over(Window.partitionBy("token", "salt", "band"))
+    return scratch.write(rows.withColumn("first", central).drop("after"), "shared")
+
+
+def _star(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b): each document with the one before it and the central one of its slice, and those of the slices of
+    one token with the most central of them all."""
+    near = lambda other: shared.where(F.col(f"{other}.doc") != F.col("doc")).where(
+        _may_link(F.col("n"), F.col("pos"), F.col(f"{other}.n"), F.col(f"{other}.pos"))
+    ).select(F.col(f"{other}.doc").alias("a"), F.col("doc").alias("b"))
+    heads = shared.where("salt >= 0").select("token", "band", "first").distinct()  # one a slice
+    heads = heads.withColumn("most", F.min("first").over(Window.partitionBy("token", "band"))).where("first.doc != most.doc")
+    return near("first").unionByName(near("before")).unionByName(heads.select(F.col("most.doc").alias("a"), F.col("first.doc").alias("b"))).distinct()
 
 
 def _candidates(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -217,8 +247,8 @@ def _verified(scratch: Scratch, texts: DataFrame, sizes: DataFrame, pairs: DataF
 
 def _open(matrix: DataFrame) -> DataFrame:
     """Pairs of a query and a document of a group that it qualifies for. ``matrix`` has token, doc, n, pos and g."""
-    every = Window.partitionBy("token")
-    matrix = matrix.withColumn("low", F.min("g").over(every)).withColumn("high", F.max("g").over(every)).where("low != high").drop("low", "high")
+    spread = matrix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
+    matrix = matrix.join(spread, "token", "left_semi")
     groups = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     q, u, m = matrix.alias("q"), groups.alias("u"), matrix.alias("m")
     reach = F.greatest(F.col("u.least"), F.ceil(F.col("q.n") * PERCENT / 100))  # the smallest partner there could be
@@ -234,6 +264,15 @@ def _open(matrix: DataFrame) -> DataFrame:
     return opened.join(m, meets).select(F.col("m.doc").alias("a"), F.col("o.doc").alias("b")).distinct()
 
 
+def _copies(known: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect equal sets: each with the first of its slice, and those with the first of all."""
+    salted = known.select("n", "f1", "f2", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS)).alias("salt"))
+    slices = salted.withColumn("b", F.min("doc_id").over(Window.partitionBy("n", "f1", "f2", "salt")))
+    heads = slices.where("doc_id = b").select("n", "f1", "f2", "b").distinct()
+    heads = heads.withColumn("first", F.min("b").over(Window.partitionBy("n", "f1", "f2"))).where("b != first")
+    return slices.where("doc_id != b").select(F.col("doc_id").alias("a"), "b").unionByName(heads.select(F.col("b").alias("a"), F.col("first").alias("b")))
+
+
 def _grouped(docs: DataFrame, width: int) -> tuple[Scratch, DataFrame, DataFrame, DataFrame]:
     """Scratch, texts (doc, text), sizes (doc_id, n, f1, f2, bits) of every row, and groups (node, component)."""
     scratch = Scratch(docs.sparkSession)
@@ -241,17 +280,11 @@ def _grouped(docs: DataFrame, width: int) -> tuple[Scratch, DataFrame, DataFrame
     profiles = scratch.write(_profiles(docs, width), "profiles")
     sizes = profiles.where("f1 is not null").select("doc_id", "n", "f1", "f2", "bits")
     known = sizes.where("n > 0 and doc_id is not null")
-    first = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
-    copies = known.join(first, ["n", "f1", "f2"]).where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
-
+    copies = _copies(known)
     shared = _shared(scratch, _postings(docs, _ranks(profiles), width))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("text is not null")
     texts = scratch.write(texts.join(shared.select("doc").distinct(), "doc", "left_semi"), "texts")
-    near = lambda other: shared.where(F.col(f"{other}.doc") != F.col("doc")).where(
-        _may_link(F.col("n"), F.col("pos"), F.col(f"{other}.n"), F.col(f"{other}.pos"))
-    ).select(F.col(f"{other}.doc").alias("a"), F.col("doc").alias("b"))
-    star = near("first").unionByName(near("before")).distinct()
-    links = scratch.write(copies.unionByName(_verified(scratch, texts, known, star, width)), "links")
+    links = scratch.write(copies.unionByName(_verified(scratch, texts, known, _star(shared), width)), "links")
 
     groups = connected_components(scratch, links)
     matrix = shared.select("token", "doc", "n", "pos").join(groups, F.col("doc") == F.col("node"), "left")
@@ -379,9 +412,44 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose document is not the first, by id, of its component."""
-    gone = components(docs, width).where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, one document of each group: the first by id.
+
+    Of rows that repeat (one id, one set of shingles) one stays, the least as a text of all its columns. A row without
+    an id goes if a row with one has its set, else one of the rows with its set stays. Rows without any shingle are no
+    copies of each other, but of those that share id and text one stays. Only rows that share an id or have none are
+    grouped with their texts, with partial aggregates, so that a row that comes again and again is no hot spot.
+    """
+    scratch, _, sizes, groups = _grouped(docs, width)
+    tag = uuid.uuid4().hex[:12]  # for names that no column of the documents has
+    own, gone_id = F.col("doc_id").cast("long"), f"__gone_{tag}"
+    gone = groups.where("node != component").select(F.col("node").alias(gone_id))
+    rows = docs.join(gone, own == F.col(gone_id), "left_anti")
+    again = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("many")).where("many > 1").select(F.col("doc_id").alias(gone_id))
+    if sizes.where("doc_id is null").isEmpty() and again.isEmpty():
+        return rows
+    again = scratch.write(again, "again")
+    single = rows.where(own.isNotNull()).join(again, own == F.col(gone_id), "left_anti")
+    several = rows.join(again, own == F.col(gone_id), "left_semi").unionByName(rows.where(own.isNull()))
+
+    names = [f"__{c}_{tag}" for c in ("n", "f1", "f2")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            sets = [shingles(ids.array(split_words(t.as_py())), width) for t in batch["text"]]
+            prints = [(len(x), *_fingerprint(x)) if len(x) else (0, 0, 0) for x in sets]
+            for k, name in enumerate(names):
+                batch = batch.append_column(name, pa.array([p[k] for p in prints], pa.int64()))
+            yield batch
+
+    schema = StructType([*several.schema.fields, *[StructField(name, LongType()) for name in names]])
+    marked = several.mapInArrow(run, schema)
+    with_id = sizes.where("n > 0 and doc_id is not null").select(*[F.col(c).alias(name) for c, name in zip(("n", "f1", "f2"), names, strict=True)]).distinct()
+    nameless = marked.where(own.isNull()).join(with_id, names, "left_anti")
+    key = [own.alias(gone_id), *names, F.when(F.col(names[0]) == 0, F.sha2(F.col("text").cast("string"), 256)).alias(f"__text_{tag}")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = marked.where(own.isNotNull()).unionByName(nameless).groupBy(*key).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return single.unionByName(kept.select("row.*"))
 
 
 def op4_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 _ROOT = "root"
+#: Buckets of a shard, in which its rows are numbered. The slots depend on it, and on nothing of the cluster.
+BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,7 @@ def place(tree: Tree, key: Column) -> Column:
     return at["shard"]
 
 
-def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
+def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and, with ``grown``, grown_shard of every row of ``docs``.
 
     Size is the text's UTF-8 bytes and 16; a null text has none. Slots number each shard's rows from 0 without gaps, in
@@ -82,7 +84,6 @@ def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = scratch.write(
         docs.select(

@@ -4,13 +4,14 @@ import collections
 import math
 import os
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from spanfold.llm import decontamination, embeddings, hmm, jaccard, packing, secrets
+from spanfold.llm import decontamination, embeddings, hmm, jaccard, packing, secrets, tokens
 from spanfold.llm.common import Scratch, WordIds, connected_components, shingles, split_words
 
 SF = "/root/testdata/sf0.001"
@@ -90,6 +91,26 @@ def test_vectors_against_all_pairs(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
 
+def test_widths_and_magnitudes_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    rows = []
+    for width, many in ((2, 30), (3, 50), (16, 40)):
+        base = rng.normal(size=(8, width))
+        rows += [(len(rows) + i, (base[i % 8] + rng.normal(size=width) * 0.1).tolist()) for i in range(many)]
+    rows += [(500, [1e200, 0.0, 1e200]), (501, [1e-200, 0.0, 1e-200]), (502, [5e-324, 0.0]), (503, [1.0, 0.0]), (504, [7.0]), (505, [1e300]), (506, [-2.0])]
+
+    def cosine(a, b):
+        a, b = (np.array(x) / np.abs(x).max() for x in (a, b))
+        return a @ b / np.sqrt((a @ a) * (b @ b))
+
+    links = [(i, j) for i, a in rows for j, b in rows if i != j and len(a) == len(b) and cosine(a, b) >= 0.95]
+    n, best = collections.Counter(i for i, _ in links), least_reached([i for i, _ in rows], links)
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted((i, n[i], best[i]) for i, _ in rows)
+    assert n[500] and n[504] == 1 and not n[506]
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in embeddings.near_duplicates(df).collect()] == [(1, 0, 1, True)]
@@ -160,11 +181,26 @@ def test_matrix_finds_links_without_the_first_round(spark, monkeypatch):
 
 
 def test_first_of_each_group_stays(spark):
-    rows = [(3, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "other"), (None, "a b c d e f g h"), (4, None)]
+    same = "a b c d e f g h"
+    rows = [(3, same), (1, same), (2, "other"), (4, None), (5, ""), (5, ""), (6, ""), (7, "of its own"), (7, "of its own"), (7, "and another text")]
     kept = jaccard.deduplicated(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 4]
-    assert jaccard.components(docs(spark, [])).count() == 0
+    want = [(1, same), (2, "other"), (4, None), (5, ""), (6, ""), (7, "and another text"), (7, "of its own")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    # Rows without an id are copies as well: of a row with one, and of each other.
+    rows += [(None, same), (None, "no id"), (None, "no id"), (None, None)]
+    got = jaccard.deduplicated(docs(spark, rows * 2)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([*want, (None, "no id"), (None, None)], key=str)
+    assert jaccard.components(docs(spark, [])).count() == 0 == jaccard.deduplicated(docs(spark, [])).count()
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_slices_of_frequent_tokens_lose_no_link(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "HOT_RANK", 1)  # a token counted four times is dealt to two slices or more
+    monkeypatch.setattr(jaccard, "COPY_SALTS", 3)
+    rows = near_copies(seed, 200) + [(10_000 + i, "one text that comes again and again and again") for i in range(40)]
+    got = jaccard.components(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_jaccard(rows)
 
 
 def test_bitmaps_never_differ_more_than_sets():
@@ -180,39 +216,70 @@ def test_bitmaps_never_differ_more_than_sets():
 
 
 def brute_tiles(item, doc, least):
-    """Greedy string tiling by all longest matches, each time anew."""
-    a, b, total = [True] * len(item), [True] * len(doc), 0
+    """Greedy string tiling by all longest matches, each time anew, ties by place."""
+    a, b, tiles = [True] * len(item), [True] * len(doc), []
     while True:
         best = (least - 1, 0, 0)
         for p in range(len(item)):
             for t in range(len(doc)):
                 k = 0
-                while p + k < len(item) and t + k < len(doc) and item[p + k] == doc[t + k] and a[p + k] and b[t + k]:
+                while p + k < len(item) and t + k < len(doc) and item[p + k] == doc[t + k] > 0 and a[p + k] and b[t + k]:
                     k += 1
                 if k > best[0]:
                     best = (k, p, t)
         k, p, t = best
         if k < least:
-            return total
+            return tiles
         for i in range(k):
             a[p + i] = b[t + i] = False
-        total += k
+        tiles.append((p, t, k))
 
 
-def test_tiles_cover_about_what_plain_greedy_tiling_does():
+def test_tiles_are_those_of_plain_greedy_tiling():
     rng = random.Random(4)
-    for _ in range(150):
-        item = [rng.randint(1, 9) for _ in range(rng.randint(3, 40))]
-        doc = [rng.randint(1, 9) for _ in range(rng.randint(0, 30))]
-        for _ in range(rng.randint(0, 3)):
+    for n in range(300):
+        words = rng.choice([2, 3, 9])  # few words give many ties
+        item = [rng.randint(0 if n % 5 == 0 else 1, words) for _ in range(rng.randint(0, 30))]
+        doc = [rng.randint(1, words) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3) if item else 0):
             at = rng.randrange(len(item))
-            doc += item[at : at + rng.randint(3, 15)] + [rng.randint(1, 9)]
-        tiles = decontamination.tiling(item, doc, 3)
-        used = [set(range(p, p + k)) for p, _, k in tiles]
-        assert all(item[p : p + k] == doc[t : t + k] and k >= 3 for p, t, k in tiles)
-        assert sum(map(len, used)) == len(set().union(*used)) and len({x for _, t, k in tiles for x in range(t, t + k)}) == sum(k for *_, k in tiles)
-        # Ties between equally long matches may be broken in another order, and a later tile may fall away.
-        assert abs(sum(map(len, used)) - brute_tiles(item, doc, 3)) <= 6
+            doc += item[at : at + rng.randint(3, 15)] + [rng.randint(1, words)]
+        least = rng.choice([1, 2, 3, 5])
+        assert decontamination.tiling(item, doc, least) == brute_tiles(item, doc, least)
+
+
+def test_repeated_words_take_no_long():
+    items = decontamination.Items([(1, "a " * 300), (2, "x y " * 150), (3, "tiny one")])
+    began = time.process_time()
+    assert items.overlaps(("a " * 299 + "b ") * 70) == [(0, 300, 299, 1)]
+    assert items.overlaps("x y " * 10_000) == [(1, 300, 300, 1)]
+    assert time.process_time() - began < 5
+    assert items.overlaps("such a tiny one here") == [(2, 2, 2, 1)] and items.overlaps("tiny and one") == []
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(25)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([2, 4, 8, 20])))) for i in range(12)]
+    rows = []
+    for d in range(120):
+        text = rng.choices(words, k=rng.randint(0, 30))
+        for _ in range(rng.randint(0, 2)):
+            piece = rng.choice(items)[1].split()
+            at = rng.randrange(len(piece))
+            text += piece[at:] + rng.choices(words, k=rng.randint(0, 3)) + piece[:at]
+        rows.append((d, rng.choice([" ", ", "]).join(text)))
+    want = []
+    for d, text in rows:
+        for i, item in items:
+            a, b = decontamination.tokens(item), decontamination.tokens(text)
+            ids = {w: n + 1 for n, w in enumerate(dict.fromkeys(a))}
+            tiles = brute_tiles([ids[w] for w in a], [ids.get(w, 0) for w in b], min(5, len(a)))
+            covered = sum(t[2] for t in tiles)
+            if covered >= 0.5 * len(a):
+                want.append((d, i, len(a), covered, len(tiles)))
+    got = decontamination.leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.item_tokens, r.covered_tokens, r.n_tiles) for r in got.collect()) == sorted(want) and len(want) > 20
 
 
 def test_leaks(spark, monkeypatch):
@@ -270,6 +337,25 @@ def test_forward_is_the_sum_over_all_paths():
         assert math.isclose(got, math.log(total), rel_tol=1e-9)
 
 
+def test_pieces_of_long_texts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    p = random_parameters(8, rng)
+    p.move[:] = rng.random((8, 8)) ** 4 + 1e-3  # states that last
+    p.move /= p.move.sum(1, keepdims=True)
+    texts = [rng.integers(0, hmm.WIDTH, n) for n in (1, 5, 700, 30, 2500, 64, 65, 128, 129, 3)]
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    want = hmm.Counts.zero(8)
+    hmm.expect(p, [texts[i] for i in order], want)
+    plain = hmm.forward(p, [texts[i] for i in order])
+    for piece, chunk in ((64, 300), (64, 3000), (7, 100)):
+        monkeypatch.setattr(hmm, "_PIECE", piece)
+        monkeypatch.setattr(hmm, "_CHUNK", chunk)
+        got = hmm.Counts.zero(8)
+        hmm.expect_all(p, texts, got)
+        assert np.allclose(got.start, want.start) and np.allclose(got.move, want.move) and np.allclose(got.emit, want.emit) and math.isclose(got.log_likelihood, want.log_likelihood)
+        assert np.allclose(hmm.likelihoods(p, texts)[order], plain)
+
+
 def test_expected_counts_are_the_sum_over_all_paths():
     import itertools
 
@@ -304,7 +390,7 @@ def test_scores(spark, monkeypatch):
     for i in range(400):
         words = rng.choices(tongues[i % 3], k=rng.randint(0, 60))
         rows.append((i, " ".join(words) if i % 50 else "  "))
-    rows += [(1000, None), (1001, ""), (None, "aone new"), (3, rows[3][1]), (2000, "never seen words")]
+    rows += [(1000, None), (1001, ""), (None, "aone new"), (3, rows[3][1]), (2000, "never seen words"), (2001, "a1ing b2ez " * 6000)]
     got = hmm.scores(docs(spark, rows), rounds=3).collect()
     counts = collections.Counter()
     for i, t in rows:
@@ -357,9 +443,9 @@ def test_pipeline_stages(spark):
         before = {r.doc_id: r.text for r in frame.select("doc_id", "text").collect()}
         frame = scratch.write(stage(spark, frame, SF), name)
         if name == "packing":
-            words = sum(len(t.encode().split()) + 1 for t in before.values())
+            count = tokens.counter(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
             rows = frame.collect()
-            assert sum(r.n_tokens for r in rows) == words and {i for r in rows for i in r.doc_ids} == set(before)
+            assert sum(r.n_tokens for r in rows) == sum(count(list(before.values()))) + len(before) and {i for r in rows for i in r.doc_ids} == set(before)
             assert all(r.capacity in packing.CAPACITIES for r in rows)
             break
         assert frame.columns == source.columns and frame.schema.simpleString() == source.schema.simpleString()

@@ -1,7 +1,6 @@
 """Operators on single texts: tokens, secrets, toxicity, chat, shards and packing."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -122,6 +121,23 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.parquet(ledger).where("rules != 'old rules'").count() == 3
 
 
+def test_increments_scan_only_unseen_blobs(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
+    halves = [(i, HIDDEN[i % 6] if i % 2 else f"clean {i % 4}") for i in range(40)], [(i, HIDDEN[i % 6] if i % 3 else "new") for i in range(40, 80)]
+    seen = set()
+    for rows in halves:
+        before = len(seen)
+        seen |= {t for _, t in rows}
+        secrets.add_to_ledger(docs(spark, rows), path)
+        assert spark.read.parquet(path).count() == len(seen) > before
+    secrets.add_to_ledger(docs(spark, halves[0]), path)
+    assert spark.read.parquet(path).count() == len(seen)
+    wide = docs(spark, halves[0] + halves[1]).selectExpr("*", "'x' AS __blob", "'old' AS secret_spans")
+    got = secrets.findings(wide, path)
+    assert sorted((r.doc_id, r.secret_spans) for r in got.collect()) == sorted((i, brute_spans(t)) for i, t in halves[0] + halves[1])
+    assert got.columns == wide.columns
+
+
 def test_redaction(spark):
     df = secrets.scan_documents(docs(spark, [(1, HIDDEN[5] + " end"), (2, None), (3, "clean")]))
     got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
@@ -156,6 +172,58 @@ def test_toxicity_held_out(spark):
     assert got[5000] < toxicity.THRESHOLD
 
 
+def test_the_sample_does_not_depend_on_the_partitioning(spark):
+    rows = [(i, f"text {i % 40}") for i in range(200)]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    found = [sorted(map(tuple, toxicity.labelled_sample(docs(spark, rows).repartition(n), labels).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and len({r[0] for r in found[0]}) == len(found[0]) > 30
+    want = {}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            want.setdefault(t, []).append((i, int(i % 3 == 0)))
+    assert {r[0]: (r[1], r[2]) for r in found[0]} == {t: (min(i for i, _ in v), max(x for _, x in v)) for t, v in want.items()}
+
+
+def plain_trees(x, y, trees):
+    """The same boosted trees, a row and a split at a time."""
+    binned = [[int(np.searchsorted(e, row[j])) for j, e in enumerate(trees.edges)] for row in x]
+    score = [trees.start] * len(x)
+    for _ in range(trees.rounds):
+        p = [1 / (1 + np.exp(-s)) for s in score]
+        g, h = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        nodes = {0: list(range(len(x)))}
+        for _ in range(trees.depth):
+            split = {}
+            for node, some in nodes.items():
+                best, at = 1e-6, None
+                for j in range(len(trees.edges)):
+                    for cut in range(trees.bins):
+                        left = [i for i in some if binned[i][j] <= cut]
+                        right = [i for i in some if binned[i][j] > cut]
+                        gl, hl, gr, hr = (sum(v[i] for i in side) for side in (left, right) for v in (g, h))
+                        if hl < 1e-3 or hr < 1e-3:
+                            continue
+                        gain = gl**2 / (hl + trees.ridge) + gr**2 / (hr + trees.ridge) - (gl + gr) ** 2 / (hl + hr + trees.ridge)
+                        if gain > best + 1e-12:
+                            best, at = gain, (j, cut)
+                for i in some:
+                    split.setdefault(2 * node + (at is not None and binned[i][at[0]] > at[1]), []).append(i)
+            nodes = split
+        for some in nodes.values():
+            value = -trees.rate * sum(g[i] for i in some) / (sum(h[i] for i in some) + trees.ridge)
+            for i in some:
+                score[i] += value
+    return score
+
+
+def test_trees_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    y = np.clip((x[:, 0] + x[:, 1] ** 2 > 0.5) * 0.8 + rng.random(60) * 0.2, 0, 1)  # no two labels are equal, so no splits tie
+    trees = toxicity.Trees(rounds=4, depth=2, bins=8).fit(x, y)
+    assert np.allclose(trees.margin(x), plain_trees(x, y, trees), atol=1e-8)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     table = docs(spark, EDGE)
@@ -301,6 +369,87 @@ def test_best_fit_is_near_the_bound():
     assert sum(size) < 1.03 * sum(lengths)
 
 
+def plain_best_fit(lengths, capacities):
+    """Best fit as it is defined, with plain lists: the open bin with the least room, the last touched among equals."""
+    cost, bins, left = packing.cost, [], sorted(lengths, reverse=True)
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    bin_of, touched = [0] * len(lengths), 0
+
+    def filled(space):
+        total, counts = 0, Counter(left)
+        for _ in range(64):
+            fits = [n for n in counts if n <= space and counts[n]]
+            if not fits:
+                break
+            n = max(fits)
+            take = min(space // n, counts[n])
+            counts[n] -= take
+            total, space = total + take * n, space - take * n
+        return total
+
+    for i in order:
+        n = lengths[i]
+        left.remove(n)
+        touched += 1
+        open_bins = [b for b in bins if b["size"] - b["used"] >= n]
+        if open_bins:
+            b = min(open_bins, key=lambda b: (b["size"] - b["used"], -b["at"]))
+        else:
+            best = None
+            for c in sorted(c for c in capacities if c >= n):
+                tokens = n + filled(c - n)
+                price = cost(min(k for k in capacities if k >= tokens)) / tokens
+                if best is None or price < best[0]:
+                    best = (price, c)
+            b = {"size": best[1], "used": 0, "no": len(bins)}
+            bins.append(b)
+        b["used"] += n
+        b["at"] = touched
+        bin_of[i] = b["no"]
+    return bin_of, [min(c for c in capacities if c >= b["used"]) for b in bins]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_best_fit_equals_a_plain_one(lengths):
+    assert packing.best_fit(lengths, (8, 16, 64)) == plain_best_fit(lengths, (8, 16, 64))
+
+
+@settings(max_examples=60, deadline=None)
+@given(text=pieces, largest=st.integers(2, 9))
+def test_pieces_have_the_tokens_of_the_whole(vocabulary, text, largest):
+    count = tokens.counter(vocabulary)
+    sizes, cuts = packing.cut(text, largest, count)
+    parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert "".join(parts) == text and len(parts) == len(sizes) and all(0 < n <= largest for n in sizes)
+    assert sum(sizes) == count([text])[0] + 1
+    if max(count.by_run(text), default=0) <= largest:  # no run had to be cut inside
+        assert [n - (k == len(sizes) - 1) for k, n in enumerate(sizes)] == count(parts)
+
+
+def test_pack_by_tokens(spark, vocabulary):
+    rows = EDGE + [(100 + i, "word, Don't " * i) for i in range(60)] + [(999, "x" * 30_000)]
+    out = packing.pack(docs(spark, rows), (64, 512), block=20, with_text=True, tokenizer=vocabulary).collect()
+    t = plain_tokenizer(vocabulary)
+    want, seen = Counter(), Counter()
+    for i, text in rows:
+        want[i] += len(t.encode(text or "", add_special_tokens=False).ids) + 1
+    for r in out:
+        assert r.n_tokens == sum(p.n_tokens for p in r.pieces) <= r.capacity in (64, 512)
+        for p in r.pieces:
+            seen[p.doc_id] += p.n_tokens
+    assert seen == want
+
+
+def test_blocks_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"sizes": [[1]] * 30, "text": ["x" * 300] * 30})
+    assert [len(b["sizes"]) for b in packing._blocks(iter([batch]), 1000)] == [3] * 10
+    assert [len(b["sizes"]) for b in packing._blocks(iter([batch]), 2)] == [2] * 15
+
+
 def test_pack(spark):
     rows = EDGE + [(100 + i, "w " * i) for i in range(200)]
     out = packing.pack(docs(spark, rows), (64, 512, 4096), block=50, with_text=True).collect()
@@ -324,6 +473,19 @@ def test_pack(spark):
 def test_a_cut_text_is_whole():
     text = "  a bb\tccc d "
     for size in (1, 2, 3, 4, 5):
-        parts = packing._cut(text, size, 4)
-        assert "".join(parts) == text and len(parts) == -(-5 // size)
-    assert json.dumps(packing._cut("x", 1, 1)) == '["x", ""]'
+        sizes, cuts = packing.cut(text, size)
+        assert cuts[0] == 0 and cuts[-1] == len(text) and sorted(cuts) == cuts and sum(sizes) == 5 and len(sizes) == -(-5 // size)
+        assert [len(text[a:b].split()) for a, b in zip(cuts, cuts[1:], strict=False)][:-1] == sizes[:-1]
+    assert packing.cut("x", 1) == ([1, 1], [0, 1, 1]) and packing.cut("", 4) == ([1], [0, 0])
+
+
+# Chat, long and odd
+
+
+def test_chat_of_long_and_odd_conversations(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"m{i} <b> \\") for i in range(3000)] + [(2, 1, "assistant", "long " * 50_000)]
+    wide = spark.createDataFrame([(c, t, r, x, "clash", 1.0) for c, t, r, x in rows], "conv_id long, turn long, role string, text string, tree string, score double")
+    back = {r.tree: r for r in chat.read_back(chat.format_branches(chat.branches(chat.reply_tree(wide)))).collect()}
+    assert [t.text for t in back["1"].turns] == [r[3] for r in rows[:3000]] and back["1"].learned == [r[3] for r in rows[:3000:2]]
+    assert back["2"].learned == ["long " * 50_000]
+    assert chat.format_branches(chat.branches(chat.reply_tree(wide.limit(0)))).count() == 0

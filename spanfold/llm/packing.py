@@ -110,7 +110,7 @@ def cut(text: str, largest: int, count: Counter | None = None, total: int | None
     longer than the largest sequence is cut inside, between two of its tokens.
     """
     if total is None:
-        total = count([text])[0] if count else len(text.encode("utf-8", "surrogatepass").split())
+        total = count.by_runs([text])[0] if count else len(text.encode("utf-8", "surrogatepass").split())
     if total < largest:
         return [total + 1], [0, len(text)]
     starts = [m.start() for m in _RUN.finditer(text)]
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, block: int = B
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 texts = b["text"].to_pylist()
-                totals = count(texts) if count else [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]
+                totals = count.by_runs(texts) if count else [len(t.encode("utf-8", "surrogatepass").split()) for t in texts]
                 parts = [cut(t, largest, count, n) for t, n in zip(texts, totals, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [b["doc_id"], pa.array([p[0] for p in parts], pa.list_(pa.int64())), pa.array([p[1] for p in parts], pa.list_(pa.int64())), b["key"], *([b["text"]] if with_text else [])],

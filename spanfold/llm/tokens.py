@@ -8,7 +8,10 @@ the next such character. Where an overlap has none (one endless word, say) it is
 first chunk takes in the rest of the text.
 
 The same rule lets a process remember how many tokens a run between white space has. That is the encoder which whole
-short texts go through: every run is encoded by the library, but a run that comes again is not encoded again.
+short texts go through: every run is encoded by the library, but a run that comes again is not encoded again. Nor is a
+word that came with other marks around it: the vocabulary's tokenizer makes lower case, takes runs of letters, single
+digits and runs of other marks apart before it merges, and nothing else in a run of the characters of ``_PLAIN`` could
+join them: no apostrophe (contractions), no special string, no character that composes or has another lower case.
 """
 
 from __future__ import annotations
@@ -27,6 +30,11 @@ HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS = 65_536, 32_768, 512
 #: Runs that each of two generations remembers, and the bytes of the longest of them.
 _CACHED_RUNS, _CACHED_BYTES = 1 << 18, 64
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
+# Letters of one code point each, whose lower case is one letter too: ASCII, Latin-1 and Latin Extended-A but U+0130.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+_PLAIN = re.compile(rf"[!-&(-~{_LETTERS}]+")
+_PLAIN_TEXT = re.compile(rf"[\x20\x09-\x0D!-&(-~{_LETTERS}]*")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\x20\x09-\x0D{_LETTERS}0-9]+")
 
 Encode = Callable[[str], list[tuple[int, int, int]]]
 
@@ -82,57 +90,101 @@ def _tokenizer(path: str):
     return found
 
 
+class Memory(dict):
+    """What was counted, in two generations: what was met since the older one was young stays, so that rare entries do
+    not push frequent ones out and memory is bounded. Long entries are forgotten at once."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+        self.long: list = []
+
+    def unknown(self, keys) -> list:
+        """The keys that neither generation knows; the others are made young."""
+        new = []
+        for k in keys:
+            if k not in self:
+                if (n := self.old.get(k)) is None:
+                    new.append(k)
+                else:
+                    self[k] = n
+        return new
+
+    def learn(self, keys: list, counts) -> None:
+        self.update(zip(keys, counts, strict=True))
+        self.long += [k for k in keys if len(k) > _CACHED_BYTES]
+
+    def settle(self) -> None:
+        for k in self.long:
+            del self[k]
+        self.long = []
+        if len(self) > _CACHED_RUNS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Counter:
-    """Counts the tokens of texts. It remembers those of short runs, in two generations: what was met since the older
-    one was young stays, so that rare runs do not push frequent ones out and memory is bounded."""
+    """Counts the tokens of texts. It remembers those of short runs and of the parts that runs are made of."""
 
     def __init__(self, path: str):
         self._tokenizer = _tokenizer(path)
-        self._young: dict[bytes, int] = {}
-        self._old: dict[bytes, int] = {}
+        self._runs, self._parts = Memory(), Memory()
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of the tokens of a text."""
         e = self._tokenizer.encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
-    def _learn(self, runs: set[bytes]) -> list[bytes]:
-        """Makes all these runs known; returns those that are too long to be remembered."""
-        young, old = self._young, self._old
-        new = []
-        for r in runs:
-            if r not in young:
-                if (n := old.get(r)) is None:
-                    new.append(r)
-                else:
-                    young[r] = n
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            encoded = self._tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)
-            young.update(zip(part, map(len, encoded), strict=True))
-        return [r for r in new if len(r) > _CACHED_BYTES]
-
-    def _forget(self, long: list[bytes]) -> None:
-        for r in long:
-            del self._young[r]
-        if len(self._young) > _CACHED_RUNS:
-            self._old, self._young = self._young, {}
+    def _encoded(self, texts: list[str]) -> list[int]:
+        found: list[int] = []
+        for i in range(0, len(texts), 4096):
+            found += map(len, self._tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False))
+        return found
+
+    def _learn(self, runs: set[bytes]) -> None:
+        """Makes all these runs known."""
+        made, odd, texts = [], [], []  # plain runs with their parts; others with their texts
+        for r in self._runs.unknown(runs):
+            text = r.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                made.append((r, _PARTS.findall(text.lower())))
+            else:
+                odd.append(r)
+                texts.append(text)
+        self._runs.learn([r for r, _ in made], self._sums([xs for _, xs in made]))
+        self._runs.learn(odd, self._encoded(texts))
+
+    def _sums(self, lists: list[list[str]]) -> list[int]:
+        """The tokens of lists of parts."""
+        parts = self._parts
+        new = parts.unknown(set().union(*lists))
+        parts.learn(new, self._encoded(new))
+        n = [sum(map(parts.__getitem__, xs)) for xs in lists]
+        parts.settle()
+        return n
 
     def __call__(self, texts: list[str | None]) -> list[int]:
-        """The number of tokens of each text; null has none."""
-        runs = [t.encode("utf-8", "surrogatepass").split() if t and len(t) <= HUGE_CHARS else () for t in texts]
-        long = self._learn(set().union(*runs))
-        known = self._young
-        n = [len(splice(t, self.offsets)) if t and len(t) > HUGE_CHARS else sum(map(known.__getitem__, r)) for t, r in zip(texts, runs, strict=True)]
-        self._forget(long)
+        """The number of tokens of each text; null has none. Huge texts are encoded in chunks and spliced."""
+        n = self.by_runs([t if t and len(t) <= HUGE_CHARS else None for t in texts])
+        return [len(splice(t, self.offsets)) if t and len(t) > HUGE_CHARS else k for t, k in zip(texts, n, strict=True)]
+
+    def by_runs(self, texts: list[str | None]) -> list[int]:
+        """The same numbers, by parts of plain texts and by runs of others alone."""
+        plain = [bool(t) and "<|" not in t and _PLAIN_TEXT.fullmatch(t) is not None for t in texts]
+        sums = iter(self._sums([_PARTS.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]))
+        runs = [t.encode("utf-8", "surrogatepass").split() if t and not p else () for t, p in zip(texts, plain, strict=True)]
+        self._learn(set().union(*runs))
+        known = self._runs
+        n = [next(sums) if p else sum(map(known.__getitem__, r)) for r, p in zip(runs, plain, strict=True)]
+        known.settle()
         return n
 
     def by_run(self, text: str) -> list[int]:
         """The number of tokens of each run between white space, whose sum is that of the text."""
         runs = text.encode("utf-8", "surrogatepass").split()
-        long = self._learn(set(runs))
-        n = list(map(self._young.__getitem__, runs))
-        self._forget(long)
+        self._learn(set(runs))
+        n = list(map(self._runs.__getitem__, runs))
+        self._runs.settle()
         return n
 
 

@@ -51,7 +51,7 @@ def test_token_counts_of_edge_cases(spark, vocabulary):
     assert tokens.token_counts(docs(spark, EDGE).limit(0), vocabulary).count() == 0
 
 
-pieces = st.lists(st.sampled_from(["word", "Don't", " ", "\n", "\u00a0", "\u2003", "e\u0301", "\u0301", "<|endoftext|>", "<|end", "12", "ß!?", "…", "日本", "'s", "\x1c", "x" * 40]), max_size=120).map("".join)
+pieces = st.lists(st.sampled_from(["word", "Don't", " ", "\n", "\u00a0", "\u2003", "e\u0301", "\u0301", "<|endoftext|>", "<|end", "12", "ß!?", "…", "日本", "'s", "\x1c", "x" * 40, "É", "œuvre,", "ß", "İ", "\u0149", "\u017f", "(x)", "--", "WORD", "3rd", "…%", "×", "\u212a"]), max_size=120).map("".join)
 
 
 @settings(max_examples=60, deadline=None)

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS = 65_536, 32_768, 512
-#: Runs that each of two generations remembers, and the bytes of the longest of them.
-_CACHED_RUNS, _CACHED_BYTES = 1 << 18, 64
+#: Runs and parts of runs that each of two generations remembers, and the length of the longest of them.
+_CACHED_RUNS, _CACHED_PARTS, _CACHED_BYTES = 1 << 16, 1 << 19, 64
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 # Letters of one code point each, whose lower case is one letter too: ASCII, Latin-1 and Latin Extended-A but U+0130.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
@@ -94,8 +94,9 @@ class Memory(dict):
     """What was counted, in two generations: what was met since the older one was young stays, so that rare entries do
     not push frequent ones out and memory is bounded. Long entries are forgotten at once."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
+        self.most = most
         self.old: dict = {}
         self.long: list = []
 
@@ -118,7 +119,7 @@ class Memory(dict):
         for k in self.long:
             del self[k]
         self.long = []
-        if len(self) > _CACHED_RUNS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -128,7 +129,7 @@ class Counter:
 
     def __init__(self, path: str):
         self._tokenizer = _tokenizer(path)
-        self._runs, self._parts = Memory(), Memory()
+        self._runs, self._parts = Memory(_CACHED_RUNS), Memory(_CACHED_PARTS)
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of the tokens of a text."""

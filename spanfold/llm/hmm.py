@@ -34,8 +34,9 @@ _BITS = 9
 CLASSES = 1 << _BITS
 END = SYMBOLS + CLASSES  # its number among the symbols
 WIDTH = END + 1
-#: Tokens that one pair of recursions holds, and the longest piece of a text that goes through one of its lanes.
-_CHUNK, _PIECE = 300_000, 4_096
+#: Tokens that one pair of recursions holds, the longest text that goes through one of its lanes as a whole, and the
+#: pieces of longer ones.
+_CHUNK, _WHOLE, _PIECE = 300_000, 32_768, 4_096
 #: Words that a worker remembers, and the bytes of the longest of them.
 _CACHED_WORDS, _CACHED_BYTES = 1 << 18, 64
 _ALPHA = 0.1  # added to every count of the base and inside a class
@@ -135,8 +136,9 @@ class Pieces:
 def pieces(p: Parameters, sequences: list[np.ndarray], backward: bool = True) -> Pieces:
     parts, text, states = [], [], len(p.start)
     for k, s in enumerate(sequences):
-        for at in range(0, len(s), _PIECE):
-            parts.append(s[at : at + _PIECE])
+        step = _PIECE if len(s) > _WHOLE else len(s)
+        for at in range(0, len(s), step):
+            parts.append(s[at : at + step])
             text.append(k)
     first, after = np.tile(p.start, (len(parts), 1)), np.ones((len(parts), states))
     owner = np.array(text, np.int64)

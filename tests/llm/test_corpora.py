@@ -349,6 +349,7 @@ def test_pieces_of_long_texts_change_nothing(monkeypatch):
     plain = hmm.forward(p, [texts[i] for i in order])
     for piece, chunk in ((64, 300), (64, 3000), (7, 100)):
         monkeypatch.setattr(hmm, "_PIECE", piece)
+        monkeypatch.setattr(hmm, "_WHOLE", 2 * piece)
         monkeypatch.setattr(hmm, "_CHUNK", chunk)
         got = hmm.Counts.zero(8)
         hmm.expect_all(p, texts, got)
@@ -384,6 +385,7 @@ def test_expected_counts_are_the_sum_over_all_paths():
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(hmm, "HELD", 50)  # most words come by the table of counts
     monkeypatch.setattr(hmm, "_CHUNK", 200)
+    monkeypatch.setattr(hmm, "_WHOLE", 5000)  # the last text goes in pieces
     rng = random.Random(6)
     tongues = [[f"{p}{i}{e}" for i in range(60)] for p, e in (("a", "ing"), ("b", "ez"), ("c", "um"))]
     rows = []

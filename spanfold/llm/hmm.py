@@ -246,7 +246,8 @@ def maximised(c: Counts, prior: np.ndarray) -> Parameters:
 
 
 def initial(pairs: np.ndarray, class_share: np.ndarray, prior: np.ndarray, classes: np.ndarray, states: int) -> Parameters:
-    """States from which classes follow and precede alike: k-means over the classes' neighbours in all training texts.
+    """States from which classes follow and precede alike: k-means over the classes' neighbours in all training texts,
+    then :func:`follow`.
 
     ``pairs`` counts which class follows which, ``classes`` gives each symbol's class.
     """
@@ -265,10 +266,31 @@ def initial(pairs: np.ndarray, class_share: np.ndarray, prior: np.ndarray, class
                 centres[k] = np.average(profile[own == k], axis=0, weights=weight[own == k])
     member = np.full((len(profile), states), 0.2 / states)
     member[np.arange(len(profile)), own] += 0.8
-    emit = prior[:, None] * member[classes]
-    move = member.T @ pairs @ member + 0.1
-    start = member.T @ class_share + 1e-3
-    return Parameters(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    share = class_share + 1e-9
+    emit, joint = follow(pairs, member.T * share, member.T @ pairs @ member + 0.1)
+    start = joint.sum(1) + 1e-3
+    emit = prior[:, None] * (emit / (share / share.sum())).T[classes]
+    return Parameters(start / start.sum(), joint / joint.sum(1, keepdims=True), emit / emit.sum(0))
+
+
+def follow(pairs: np.ndarray, emit: np.ndarray, joint: np.ndarray, least: float = 1e-5, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation maximisation of the pairs alone: P(a, b) = sum over states k, l of joint[k, l] emit[k, a] emit[l, b].
+
+    Rounds end when the log-likelihood gains less than a share ``least`` of itself, or after ``most``. They take a matrix
+    of fixed size whatever the texts, so that the rounds over all texts start close to their goal.
+    """
+    emit, joint = emit / emit.sum(1, keepdims=True), joint / joint.sum()
+    floor, before = emit.mean(0), -np.inf
+    for _ in range(most if pairs.sum() else 0):
+        share = emit.T @ joint @ emit
+        now = float((pairs * np.log(share, where=pairs > 0, out=np.zeros_like(share))).sum())
+        if now - before < least * abs(now):
+            break
+        before, ratio = now, np.divide(pairs, share, where=pairs > 0, out=np.zeros_like(share))
+        seen = emit * (joint @ emit @ ratio.T + joint.T @ emit @ ratio) + floor
+        joint = joint * (emit @ ratio @ emit.T) + 0.1
+        emit, joint = seen / seen.sum(1, keepdims=True), joint / joint.sum()
+    return emit, joint
 
 
 def _chunks(sequences: list[np.ndarray]) -> Iterator[list[int]]:

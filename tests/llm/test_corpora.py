@@ -428,6 +428,32 @@ def test_likelihood_rises_and_words_sum_to_one(spark, monkeypatch):
     assert sum(10**r.score for r in scored) < 1
 
 
+def test_pairs_are_fitted():
+    rng = np.random.default_rng(11)
+    emit, joint = rng.dirichlet(np.full(12, 0.3), 3), rng.dirichlet(np.ones(9)).reshape(3, 3)
+    pairs = 1e6 * (emit.T @ joint @ emit)
+    log_of = lambda e, j: (pairs * np.log(e.T @ j @ e)).sum()
+    begin, flat = rng.dirichlet(np.ones(12), 3), np.full((3, 3), 1 / 9)
+    seen = [log_of(*hmm.follow(pairs, begin, flat, least=0, most=n)) for n in (0, 1, 2, 5, 20, 300)]
+    assert all(b > a for a, b in zip(seen, seen[1:], strict=False))
+    assert seen[-1] <= log_of(emit, joint) and (log_of(emit, joint) - seen[-1]) < 0.02 * (log_of(emit, joint) - seen[0])
+    # One round of a small case, counted pair by pair and state by state.
+    e, j = begin / begin.sum(1, keepdims=True), flat
+    want_e, want_j = np.tile(e.mean(0), (3, 1)), np.full((3, 3), 0.1)
+    for a in range(12):
+        for b in range(12):
+            whole = sum(j[k, l] * e[k, a] * e[l, b] for k in range(3) for l in range(3))
+            for k in range(3):
+                for l in range(3):
+                    x = pairs[a, b] * j[k, l] * e[k, a] * e[l, b] / whole
+                    want_j[k, l] += x
+                    want_e[k, a] += x
+                    want_e[l, b] += x
+    got_e, got_j = hmm.follow(pairs, begin, flat, most=1)
+    assert np.allclose(got_e, want_e / want_e.sum(1, keepdims=True)) and np.allclose(got_j, want_j / want_j.sum())
+    assert np.allclose(hmm.follow(np.zeros((12, 12)), begin, flat)[0], begin)
+
+
 def test_no_texts(spark):
     assert hmm.scores(docs(spark, [])).count() == 0
     (r,) = hmm.scores(docs(spark, [(None, None)])).collect()

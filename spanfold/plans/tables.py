@@ -475,7 +475,7 @@ def p95_latency_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = "EXTRACT(EPOCH FROM (end_timestamp - timestamp)) * 1000"
     return run_text(
         spark, sf_dir,
-        f"""SELECT time, p95 >= low AND p95 <= high AS close FROM (SELECT time_bucket(INTERVAL '1 day', timestamp) AS time, approx_quantile({ms}, 0.95) AS p95, quantile_cont({ms}, 0.93) AS low, quantile_cont({ms}, 0.97) AS high
+        f"""SELECT time, p95 >= low AND p95 <= high AS close FROM (SELECT time_bucket(INTERVAL '1 day', timestamp) AS time, approx_quantile({ms}, 0.95) AS p95, quantile_disc({ms}, 0.93) AS low, quantile_disc({ms}, 0.97) AS high
 FROM committed_spans WHERE end_timestamp IS NOT NULL GROUP BY time) x""",
     )
 

@@ -11,6 +11,8 @@ from ..scratch import Scratch
 
 #: Words that a worker remembers, and the bytes of the longest of them.
 _CACHED_WORDS, _CACHED_BYTES = 1 << 18, 64
+#: Links in a file of a round of connected components, where there are more than the cluster has cores for.
+LINKS_A_FILE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +68,9 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is a few shuffles of the links,
     written to the shared folder, and the number of rounds grows with the logarithm of a component's size. No node's
-    neighbours are gathered: minima are aggregates with partial sums, so a hub is no hot spot.
+    neighbours are gathered: minima are aggregates with partial sums, so a hub is no hot spot. No round makes more links
+    than it got, so their number tells how many files the next one needs: a file costs an executor up to three processes
+    (Hadoop's chmod) where there is no native library.
     """
     spark = scratch.spark
     links = scratch.write(
@@ -89,7 +93,8 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
     last = digest(links)
     while last[0]:
-        new = scratch.write(star(star(links, True), False), "links")
+        files = max(spark.sparkContext.defaultParallelism, -(-last[0] // LINKS_A_FILE))
+        new = scratch.write(star(star(links, True), False).coalesce(files), "links")
         now = digest(new)
         scratch.drop(links)
         links = new

@@ -284,9 +284,7 @@ def _grouped(docs: DataFrame, width: int) -> tuple[Scratch, DataFrame, DataFrame
     shared = _shared(scratch, _postings(docs, _ranks(profiles), width))
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("text is not null")
     texts = scratch.write(texts.join(shared.select("doc").distinct(), "doc", "left_semi"), "texts")
-    links = scratch.write(copies.unionByName(_verified(scratch, texts, known, _star(shared), width)), "links")
-
-    groups = connected_components(scratch, links)
+    groups = connected_components(scratch, copies.unionByName(_verified(scratch, texts, known, _star(shared), width)))
     matrix = shared.select("token", "doc", "n", "pos").join(groups, F.col("doc") == F.col("node"), "left")
     matrix = scratch.write(matrix.select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("g")), "matrix")
     scratch.drop(shared)
@@ -294,7 +292,9 @@ def _grouped(docs: DataFrame, width: int) -> tuple[Scratch, DataFrame, DataFrame
     scratch.drop(matrix)
     scratch.drop(texts)
     if not more.isEmpty():
-        groups = connected_components(scratch, links.unionByName(more))
+        # the groups stand for the links that made them
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = connected_components(scratch, stars.unionByName(more))
     return scratch, docs.select(F.col("doc_id").alias("doc"), "text"), sizes, groups
 
 

@@ -69,8 +69,8 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014). Each round is a few shuffles of the links,
     written to the shared folder, and the number of rounds grows with the logarithm of a component's size. No node's
     neighbours are gathered: minima are aggregates with partial sums, so a hub is no hot spot. No round makes more links
-    than it got, so their number tells how many files the next one needs: a file costs an executor up to three processes
-    (Hadoop's chmod) where there is no native library.
+    than it got, so their number tells how many files the next one needs: an executor starts processes as it writes
+    files where Hadoop has no native library.
     """
     spark = scratch.spark
     links = scratch.write(
